@@ -1,0 +1 @@
+"""Operators of the engine; see the README for the inventory."""

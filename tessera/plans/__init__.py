@@ -1,0 +1 @@
+"""Plans of the engine; see the README for the inventory."""
