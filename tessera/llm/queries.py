@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import media, mixing
+from tessera.llm import bpe, fingerprints, media, mixing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_byte_bpe": bpe.query,
         "op4_media_columns": media.query,
         "op6_mixing_sources": mixing.query,
+        "op7_fingerprints": fingerprints.query,
     }
 
 
