@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, fingerprints, media, mixing
+from tessera.llm import bpe, fingerprints, html, media, mixing, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_byte_bpe": bpe.query,
+        "op3_toxicity": toxicity.query,
         "op4_media_columns": media.query,
+        "op5_html_extraction": html.query,
         "op6_mixing_sources": mixing.query,
         "op7_fingerprints": fingerprints.query,
     }
