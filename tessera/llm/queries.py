@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, fingerprints, html, media, mixing, toxicity
+from tessera.llm import bpe, fingerprints, html, lines, media, mixing, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,8 +17,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_html_extraction": html.query,
         "op6_mixing_sources": mixing.query,
         "op7_fingerprints": fingerprints.query,
+        "op9_line_dedup": lines.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing_sources": mixing.SQL}
+    return {"op6_mixing_sources": mixing.SQL, "op9_line_dedup": lines.SQL}
