@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, fingerprints, html, lines, media, mixing, toxicity
+from tessera.llm import bpe, fingerprints, html, licences, lines, media, mixing, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,8 +18,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_mixing_sources": mixing.query,
         "op7_fingerprints": fingerprints.query,
         "op9_line_dedup": lines.query,
+        "op10_licence_scan": licences.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing_sources": mixing.SQL, "op9_line_dedup": lines.SQL}
+    return {"op6_mixing_sources": mixing.SQL, "op9_line_dedup": lines.SQL, "op10_licence_scan": licences.SQL}
