@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, fingerprints, html, licences, lines, media, mixing, toxicity
+from tessera.llm import bpe, fingerprints, html, licences, lines, media, mixing, neardup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_minhash_neardup": neardup.query,
         "op2_byte_bpe": bpe.query,
         "op3_toxicity": toxicity.query,
         "op4_media_columns": media.query,
