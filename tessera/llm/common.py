@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHUNK_BYTES = 1 << 20
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Base of the prefix polynomials; odd, so it has an inverse modulo 2**64.
 BASE = 0x9E6C63D0676A9A99
 BASE_2 = 0xD1342543DE82EF95
@@ -33,11 +35,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage ends there and outlives any executor."""
+    """df as a table in the shared folder: its lineage ends there and outlives any executor.
+
+    Its shuffle files go when it is written, since nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}.parquet"
     schema = df.schema
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(schema).parquet(path)
 
 

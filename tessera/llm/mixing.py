@@ -87,26 +87,40 @@ def thresholds(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
     return state.select("source", F.col("low").alias("threshold"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken (words the mix takes, repeats counted)."""
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), word_count("text").alias("size"), unit_hash("doc_id").alias("h"))
-    sized = written(sized, "mixing-sizes")
+def mixing_plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """Per source: its size and target, how often each document is taken, and the hash below which once more."""
     targets = written(source_targets(sized, weights, share, most), "mixing-targets")
     full = F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(int(most)))
-    budgets = targets.withColumn("copies", F.coalesce(F.when(F.col("source_size") > 0, full), F.lit(0)).cast("long"))
-    budgets = budgets.withColumn("budget", F.col("target") - F.col("copies") * F.col("source_size"))
+    budgets = targets.withColumn("full", F.coalesce(F.when(F.col("source_size") > 0, full), F.lit(0)).cast("long"))
+    budgets = budgets.withColumn("budget", F.col("target") - F.col("full") * F.col("source_size"))
     marks = thresholds(sized.select("source", "size", "h"), budgets)
-    plan = written(
-        budgets.alias("a")
-        .join(marks.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")), "left")
-        .select(F.col("a.source").alias("source"), "source_size", "target", "copies", "threshold"),
-        "mixing-plan",
-    )
+    joined = budgets.alias("a").join(marks.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")), "left")
+    once_more = F.when(F.col("full") < int(most), F.col("threshold")).otherwise(F.lit(0))
+    return written(joined.select(F.col("a.source").alias("source"), "source_size", "target", "full", once_more.alias("threshold")), "mixing-plan")
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), word_count("text").alias("size"), unit_hash("doc_id").alias("h")), "mixing-sizes")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies and taken (words the mix takes, repeats counted)."""
+    sized = _sized(docs)
+    plan = mixing_plan(sized, weights, share, most)
     joined = sized.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
-    copies = F.col("copies") + ((F.col("h") < F.col("threshold")) & (F.col("copies") < int(most))).cast("long")
+    copies = F.col("full") + (F.col("h") < F.col("threshold")).cast("long")
     return joined.select("d.doc_id", "d.source", "d.size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
 
 
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """The rows of the mix: each document as often as it is taken. Texts are filtered where they are read, not moved."""
+    plan = mixing_plan(_sized(docs), weights, share, most).select(F.col("source").alias("__source"), "full", "threshold").withColumnsRenamed({"full": "__full", "threshold": "__threshold"})
+    joined = docs.join(plan, docs["source"].eqNullSafe(F.col("__source")))
+    copies = F.col("__full") + (unit_hash("doc_id") < F.col("__threshold")).cast("long")
+    repeated = joined.withColumn("__copies", copies).filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
+    return repeated.select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("source", "copies")
 

@@ -32,8 +32,8 @@ from tessera.llm.components import connected_components
 
 WORDS, SIMILARITY = 5, 80
 PLACES = 1 << 19
-BANDS, ROWS = 25, 5
 COORDINATES = 128
+MISSED = 1e-6
 MARGIN = 0.2
 BLOCK = 192
 
@@ -95,11 +95,17 @@ def _second_permutation(coordinates: int) -> np.ndarray:
     return _permutations[coordinates]
 
 
-def band_keys(signatures: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(signatures), BANDS), np.uint64)
-    for band in range(BANDS):
+def rows_of_band(similarity: int) -> int:
+    """The most coordinates a band may have for a pair at the threshold to share none with odds under MISSED."""
+    return next((r for r in range(8, 1, -1) if (1 - (similarity / 100) ** r) ** (COORDINATES // r) < MISSED), 1)
+
+
+def band_keys(signatures: np.ndarray, rows: int) -> np.ndarray:
+    bands = COORDINATES // rows
+    out = np.zeros((len(signatures), bands), np.uint64)
+    for band in range(bands):
         key = np.full(len(signatures), band + 1, np.uint64)
-        for k in range(band * ROWS, (band + 1) * ROWS):
+        for k in range(band * rows, (band + 1) * rows):
             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + signatures[:, k])
         out[:, band] = key
     return out
@@ -108,7 +114,7 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 SIGNED = "doc_id bigint, n_shingles bigint, digest string, bands array<bigint>, signature binary"
 
 
-def signed(docs: DataFrame, words: int) -> DataFrame:
+def signed(docs: DataFrame, words: int, rows: int) -> DataFrame:
     """n_shingles, a digest of the shingle set, band keys and a byte of each coordinate for every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +122,7 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
             values, bounds = shingles(column(batch, "text"), words)
             sizes = np.diff(bounds)
             signatures = circulant_signatures(values, bounds)
-            keys, marks = band_keys(signatures).view(np.int64), mix(signatures.astype(np.uint64)).astype(np.uint8)
+            keys, marks = band_keys(signatures, rows).view(np.int64), mix(signatures.astype(np.uint64)).astype(np.uint8)
             digests, bands, bytes_of, row = [], [], [], 0
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 digests.append(hashlib.blake2b(values[a:b].tobytes(), digest_size=16).hexdigest() if b > a else None)
@@ -259,7 +265,7 @@ def shingle_sets(docs: DataFrame, words: int, keep: tuple[str, ...]) -> DataFram
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
-    rows = written(signed(docs, words), "neardup-signatures")
+    rows = written(signed(docs, words, rows_of_band(similarity)), "neardup-signatures")
     classes = rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id"))
     ids = written(classes, "neardup-classes")
     represented = rows.join(ids.withColumnRenamed("digest", "own"), (F.col("doc_id") == F.col("id")) & (F.col("digest") == F.col("own"))).select("id", "bands", "signature").dropDuplicates(["id", "signature"])
@@ -286,5 +292,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
+    """docs without the documents that another of their class stands for: the smallest doc_id of each class stays."""
+    found = written(near_duplicates(docs, words, similarity).filter("NOT kept").select("doc_id").distinct(), "neardup-dropped")
+    left = docs.join(found.withColumnRenamed("doc_id", "__dropped"), docs["doc_id"].cast("long") == F.col("__dropped"), "left_anti")
+    if docs.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        left = left.dropDuplicates(["doc_id", "text"])
+    return left
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, similarity=85)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, fingerprints, html, licences, lines, media, mixing, neardup, toxicity
+from tessera.llm import bpe, fingerprints, html, licences, lines, media, mixing, neardup, suffixes, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_html_extraction": html.query,
         "op6_mixing_sources": mixing.query,
         "op7_fingerprints": fingerprints.query,
+        "op8_suffix_dedup": suffixes.query,
         "op9_line_dedup": lines.query,
         "op10_licence_scan": licences.query,
     }
