@@ -1,0 +1,167 @@
+"""Statistics over tables: ranks, distances of distributions, intervals, the gate's comparison."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+# One-sided 95 % and 80 % points of the normal distribution.
+Z_95, Z_80 = 1.64485, 0.84162
+CHANGED = 1e-4
+
+
+def average_rank(order, ties) -> Column:
+    """Mean rank among equals: order is the window ordered by the value, ties the window partitioned by it too."""
+    return F.rank().over(order) + (F.count(F.lit(1)).over(ties) - 1) / 2.0
+
+
+def spearman(rows: DataFrame, by: str, a: str, b: str, least: int = 10) -> DataFrame:
+    """Rank correlation of a and b in each group over pairs finite in both; null under `least` pairs or without variance."""
+    finite = rows.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & ~F.isnan(a) & ~F.isnan(b))
+    group = Window.partitionBy(by)
+    ranked = finite.select(by, average_rank(group.orderBy(a), Window.partitionBy(by, a)).alias("ra"), average_rank(group.orderBy(b), Window.partitionBy(by, b)).alias("rb"))
+    out = ranked.groupBy(by).agg(F.corr("ra", "rb").alias("rho"), F.count(F.lit(1)).alias("n"), F.stddev_pop("ra").alias("sa"), F.stddev_pop("rb").alias("sb"))
+    ok = (F.col("n") >= least) & (F.col("sa") > 0) & (F.col("sb") > 0)
+    return out.select(by, F.when(ok, F.round("rho", 6)).alias("rho"), "n")
+
+
+def within_ranks(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """Ranks from 0 to 1 in each group; null in groups of one."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(by))
+    rank = average_rank(Window.partitionBy(by).orderBy(value), Window.partitionBy(by, value))
+    return rows.withColumn("rank", F.when(n > 1, F.round((rank - 1) / (n - 1), 6)))
+
+
+def wasserstein(rows: DataFrame, by: str, side: str, value: str) -> DataFrame:
+    """Integral of the difference of two empirical distributions in each group; sides are 0 and 1."""
+    counts = rows.groupBy(by, value).agg(F.sum((F.col(side) == 0).cast("long")).alias("a"), F.sum((F.col(side) == 1).cast("long")).alias("b"))
+    group, upto = Window.partitionBy(by), Window.partitionBy(by).orderBy(value)
+    shares = [F.sum(s).over(upto) / F.nullif(F.sum(s).over(group), F.lit(0)) for s in ("a", "b")]
+    steps = counts.withColumn("d", F.abs(shares[0] - shares[1])).withColumn("gap", F.lead(value).over(upto) - F.col(value))
+    return steps.groupBy(by).agg(F.round(F.sum(F.col("d") * F.coalesce("gap", F.lit(0.0))), 6).alias("w1"))
+
+
+def total_variation(rows: DataFrame, by: str, side: str, kind: str) -> DataFrame:
+    """Half the summed difference of the kinds' shares on the two sides."""
+    counts = rows.groupBy(by, kind).agg(F.sum((F.col(side) == 0).cast("long")).alias("a"), F.sum((F.col(side) == 1).cast("long")).alias("b"))
+    group = Window.partitionBy(by)
+    d = F.abs(F.col("a") / F.nullif(F.sum("a").over(group), F.lit(0)) - F.col("b") / F.nullif(F.sum("b").over(group), F.lit(0)))
+    return counts.withColumn("d", d).groupBy(by).agg(F.round(F.sum("d") / 2, 6).alias("tv"))
+
+
+def count_divergence(a: Column, b: Column) -> Column:
+    """|ln(b / a)|, with half added to both if either is not positive."""
+    half = F.abs(F.ln((F.greatest(b, F.lit(0)) + 0.5) / (F.greatest(a, F.lit(0)) + 0.5)))
+    return F.when((a <= 0) | (b <= 0), half).otherwise(F.abs(F.ln(F.greatest(b, F.lit(1)) / F.greatest(a, F.lit(1)))))
+
+
+def gini(rows: DataFrame, by: str, value: str) -> DataFrame:
+    n, i = F.count(F.lit(1)).over(Window.partitionBy(by)), F.row_number().over(Window.partitionBy(by).orderBy(value))
+    weighted = rows.select(by, value, ((2 * i - n - 1) * F.col(value)).alias("w"))
+    out = weighted.groupBy(by).agg(F.sum("w").alias("w"), F.sum(value).alias("s"), F.count(F.lit(1)).alias("n"))
+    return out.select(by, F.when(F.col("s") > 0, F.round(F.col("w") / (F.col("n") * F.nullif("s", F.lit(0.0))), 6)).alias("gini"))
+
+
+def ties_share(rows: DataFrame, by: str, value: str, tolerance: float = 1e-6) -> DataFrame:
+    """Share of values within `tolerance` of a sorted neighbour; null for fewer than two."""
+    order = Window.partitionBy(by).orderBy(value)
+    close = [F.coalesce(F.abs(f(value).over(order) - F.col(value)) <= tolerance, F.lit(False)) for f in (F.lag, F.lead)]
+    marked = rows.select(by, (close[0] | close[1]).cast("double").alias("tied"))
+    return marked.groupBy(by).agg(F.when(F.count(F.lit(1)) >= 2, F.round(F.avg("tied"), 6)).alias("ties"))
+
+
+def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
+    """Bounds of a share in percent."""
+    p = hits / n
+    centre = (p + z * z / (2 * n)) / (1 + z * z / n)
+    half = z / (1 + z * z / n) * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
+    return F.greatest(100 * (centre - half), F.lit(0.0)), F.least(100 * (centre + half), F.lit(100.0))
+
+
+def geometric_mean(ratio: Column) -> Column:
+    return F.exp(F.avg(F.ln(F.when(ratio > 0, ratio))))
+
+
+def quartiles(rows: DataFrame, by: str, value: str) -> DataFrame:
+    return rows.groupBy(by).agg(*[F.round(F.percentile(value, q), 6).alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75)])
+
+
+def relative(base: Column, current: Column) -> Column:
+    """current / base - 1; 0 for 0 / 0 and infinity for x / 0."""
+    return F.when((base == 0) & (current == 0), 0.0).when(base == 0, F.lit(float("inf"))).otherwise(current / F.when(base == 0, 1.0).otherwise(base) - 1)
+
+
+def gate_compare(paired: DataFrame, family: str) -> DataFrame:
+    """One row: macro and micro means of base and current, their relative change, and how many pairs changed."""
+    d = F.col("current") - F.col("base")
+    per = paired.groupBy(family).agg(
+        F.avg("base").alias("base"), F.avg("current").alias("current"), F.sum("base").alias("sb"), F.sum("current").alias("sc"), F.count(F.lit(1)).alias("n"),
+        F.sum((d != 0).cast("long")).alias("changed"), F.sum((d < -CHANGED).cast("long")).alias("better"), F.sum((d > CHANGED).cast("long")).alias("worse"),
+    )
+    one = per.agg(
+        F.avg("base").alias("base_macro"), F.avg("current").alias("current_macro"), (F.sum("sb") / F.sum("n")).alias("base_micro"), (F.sum("sc") / F.sum("n")).alias("current_micro"),
+        F.sum("n").alias("n"), F.sum("changed").alias("changed"), F.sum("better").alias("better"), F.sum("worse").alias("worse"),
+    )
+    rel = relative(F.col("base_macro"), F.col("current_macro"))
+    return one.select(*[F.round(c, 8).alias(c) for c in ("base_macro", "current_macro", "base_micro", "current_micro")], F.round(rel, 8).alias("rel"), "n", "changed", "better", "worse")
+
+
+def hash_draw(replicate: Column, draw: Column, n: Column, salt: str) -> Column:
+    """An index from 1 to n, from MD5: the same draws in any engine."""
+    digest = F.md5(F.concat_ws(":", F.lit(salt), replicate.cast("string"), draw.cast("string")).cast("binary"))
+    return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") % n + 1).cast("int")
+
+
+def bootstrap(paired: DataFrame, family: str, key: str, replicates: int, salt: str = "boot") -> DataFrame:
+    """Stratified paired bootstrap of the macro mean's relative change: replicate, rel.
+
+    Each family's pairs are numbered; a replicate draws as many as there are, with replacement.
+    """
+    whole = Window.partitionBy(family)
+    numbered = paired.select(family, "base", "current", F.row_number().over(whole.orderBy(key)).alias("i"), F.count(F.lit(1)).over(whole).alias("m"))
+    spread = numbered.select(family, F.col("i").alias("draw"), "m").withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    drawn = spread.select(family, "replicate", hash_draw(F.concat_ws("/", F.col(family), F.col("replicate")), F.col("draw"), F.col("m"), salt).alias("i"))
+    means = drawn.join(numbered.drop("m"), [family, "i"]).groupBy("replicate", family).agg(F.avg("base").alias("base"), F.avg("current").alias("current"))
+    macro = means.groupBy("replicate").agg(F.avg("base").alias("base"), F.avg("current").alias("current"))
+    return macro.select("replicate", F.round(relative(F.col("base"), F.col("current")), 8).alias("rel"))
+
+
+def interval(replicates: DataFrame) -> DataFrame:
+    """Percentiles and standard error of the replicates."""
+    return replicates.agg(*[F.round(F.percentile("rel", q), 8).alias(f"p{n}") for q, n in ((0.025, "2_5"), (0.05, "5"), (0.95, "95"), (0.975, "97_5"))], F.round(F.stddev_samp("rel"), 8).alias("se"))
+
+
+def mde(se: Column) -> Column:
+    """The least effect that the comparison can see."""
+    return (Z_95 + Z_80) * se
+
+
+def decide(changed: Column, p95: Column, se: Column, margin: float, step: float = 0.001) -> Column:
+    return (
+        F.when(changed == 0, "identical").when(p95 < -step, "better").when(p95 < margin, "non-inferior").when(p95 < F.greatest(F.lit(margin), mde(se)), "within-noise").otherwise("worse")
+    )
+
+
+def palette_distance(a: DataFrame, b: DataFrame, by: str, axes: list[str]) -> DataFrame:
+    """Symmetric mean of nearest distances between two sets of colours of each group."""
+
+    def one_way(p: DataFrame, q: DataFrame) -> DataFrame:
+        other = q.select(by, *[F.col(x).alias(f"_{x}") for x in axes])
+        d = F.sqrt(sum(((F.col(x) - F.col(f"_{x}")) * (F.col(x) - F.col(f"_{x}")) for x in axes), F.lit(0.0)))
+        return p.join(other, by).groupBy(by, *axes).agg(F.min(d).alias("d")).groupBy(by).agg(F.avg("d").alias("d"))
+
+    return one_way(a, b).join(one_way(b, a).withColumnRenamed("d", "e"), by).select(by, F.round((F.col("d") + F.col("e")) / 2, 6).alias("distance"))
+
+
+def huber_mean(rows: DataFrame, by: str, z: Column, kappa: float) -> DataFrame:
+    from tessera.functions.colour import huber
+
+    return rows.groupBy(by).agg(F.round(F.avg(huber(z, kappa)), 6).alias("huber"))
+
+
+def sequential_code_length(rows: DataFrame, by: str, value: str, order: list[str], theta: float) -> DataFrame:
+    """Nats to name each value by a Chinese restaurant process: seen values cost by their count, new ones by theta."""
+    before = F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1
+    seen = F.row_number().over(Window.partitionBy(by, value).orderBy(*order)) - 1
+    cost = -F.ln(F.when(seen > 0, seen).otherwise(F.lit(theta)) / (before + theta))
+    return rows.select(by, cost.alias("cost")).groupBy(by).agg(F.round(F.sum("cost"), 6).alias("nats"), F.count(F.lit(1)).alias("n"))
