@@ -4,4 +4,4 @@ from __future__ import annotations
 
 
 def all_plans() -> None:
-    from tessera.plans import evaluation, raster, stats  # noqa: F401
+    from tessera.plans import raster, evaluation, stats, colours  # noqa: F401
