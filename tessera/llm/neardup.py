@@ -35,7 +35,8 @@ PLACES = 1 << 19
 COORDINATES = 128
 MISSED = 1e-6
 MARGIN = 0.2
-BLOCK = 192
+#: Rows of a block: of signatures (128 bytes each), and of full sets. The larger a block, the fewer spanning links leave.
+SIGNATURE_BLOCK, SET_BLOCK = 1024, 192
 
 _polynomial = Polynomial()
 _space = np.zeros(256, bool)
@@ -137,13 +138,13 @@ def signed(docs: DataFrame, words: int, rows: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SIGNED)
 
 
-def _in_blocks(members: DataFrame, group: str, payload: list[str]) -> DataFrame:
+def _in_blocks(members: DataFrame, group: str, payload: list[str], block: int) -> DataFrame:
     """Members of each group, once for each pair of blocks that theirs is in: group, i, j, side, id, payload.
 
-    A group of m has ceil(m / BLOCK) blocks; a member's block comes from its id's hash.
+    A group of m has ceil(m / block) blocks; a member's block comes from its id's hash.
     """
     sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    placed = members.join(sizes, group).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    placed = members.join(sizes, group).withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
     placed = placed.withColumn("own", F.pmod(F.xxhash64(F.lit(7), "id"), "blocks").cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = placed.select(group, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", *payload)
@@ -197,8 +198,11 @@ def _links(group: pa.Table, alike) -> list[tuple[int, int]]:
 
 def _blocks_linked(blocks: DataFrame, group: str, alike) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[tuple[int, int]] = set()
         for groups in _groups(batches, [group, "i", "j"]):
-            links = [x for g in groups for x in _links(g, alike)]
+            # Buckets repeat one another's links; what a task remembers is bounded, and repeats do no harm.
+            links = list({x for g in groups for x in _links(g, alike)} - told)
+            told = (told if len(told) < 500_000 else set()) | set(links)
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
@@ -277,13 +281,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     once = buckets.groupBy("m", "low", "high", "all").agg(F.min("bucket").alias("bucket")).select("bucket")
     members = keys.join(once, "bucket").join(represented.select("id", "signature"), "id").select("bucket", "id", "signature")
     estimate = _estimated(similarity / 100 - MARGIN)
-    close = written(_blocks_linked(_in_blocks(members, "bucket", ["signature"]), "bucket", estimate), "neardup-close")
+    close = written(_blocks_linked(_in_blocks(members, "bucket", ["signature"], SIGNATURE_BLOCK), "bucket", estimate), "neardup-close")
     families = connected_components(close)
 
     wanted = families.select(F.col("node").alias("id"), F.col("component").alias("family"))
     chosen = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id")
     full = shingle_sets(chosen, words, ("id", "family")).dropDuplicates(["id", "shingles"])
-    links = written(_blocks_linked(_in_blocks(full, "family", ["shingles"]), "family", _confirmed(similarity)), "neardup-links")
+    links = written(_blocks_linked(_in_blocks(full, "family", ["shingles"], SET_BLOCK), "family", _confirmed(similarity)), "neardup-links")
     components = connected_components(links)
 
     class_of = ids.join(components, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("component", "id").alias("component_id"))
