@@ -59,9 +59,9 @@ def _symbols(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Prefix hashes; each predicted position; its word's number; how many symbols of its word stand before it."""
     points, starts = _symbols(words)
-    at = np.flatnonzero(points != START)
-    word = np.searchsorted(starts, at, side="right") - 1
-    return _polynomial.prefixes(points), at, word, at - starts[word]
+    at = np.flatnonzero(points != START).astype(np.int32)
+    word = (np.cumsum(points == START, dtype=np.int32) - 1)[at]
+    return _polynomial.prefixes(points), at, word, at - starts.astype(np.int32)[word]
 
 
 def _key(prefixes: np.ndarray, at: np.ndarray, n: int, last: int = 1) -> np.ndarray:
@@ -118,8 +118,9 @@ def train(words: list[str], counts: np.ndarray) -> Model:
         ok = before >= n - 1
         here, owner = at[ok], word[ok]
         grams, place = np.unique(_key(prefixes, here, n), return_inverse=True)
-        first = np.zeros(len(grams), np.int64)
-        first[place] = np.arange(len(here))
+        place = place.astype(np.int32)
+        first = np.zeros(len(grams), np.int32)
+        first[place] = np.arange(len(here), dtype=np.int32)
         contexts, under = np.unique(_key(prefixes, here[first], n, 0), return_inverse=True)
         held = np.zeros((len(grams), 2))
         extended = before[ok] >= n
@@ -253,12 +254,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([seen[c][w] for w in words], pa.int64()) for c in (0, 1))], names=["word", "ordinary", "toxic"])
 
     counted = texts.mapInArrow(count, "word string, ordinary long, toxic long").groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")).toArrow()
-    words = counted.column("word").to_pylist()
-    order = np.argsort(np.array(words, object)) if words else []
-    if not words:
+    if not counted.num_rows:
         return Model()
-    counts = np.column_stack([counted.column("ordinary").to_numpy(), counted.column("toxic").to_numpy()]).astype(np.float64)
-    model = train([words[i] for i in order], counts[order])
+    counted = counted.sort_by("word")
+    counts = np.column_stack([counted.column("ordinary").to_numpy(), counted.column("toxic").to_numpy()]).astype(np.float32)
+    words = counted.column("word").to_pylist()
+    del counted
+    model = train(words, counts)
+    del words, counts
     shared = spark.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
