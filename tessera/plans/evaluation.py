@@ -129,17 +129,17 @@ def crosscompare_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.cross_summary(scores(spark, sf_dir).withColumnRenamed("perturbation", "size"), "size", "family", "runner", "cost")
 
 
-@register("score_cache_antijoin", "WITH c AS (SELECT DISTINCT n_chars, lang, 1.0::DOUBLE AS score FROM documents WHERE doc_id % 3 = 0) SELECT d.doc_id, d.n_chars, d.lang, coalesce(c.score, 0.0) AS score, c.score IS NOT NULL AS hit FROM documents d LEFT JOIN c ON d.n_chars = c.n_chars AND d.lang = c.lang")
+@register("score_cache_antijoin", "WITH c AS (SELECT DISTINCT n_chars, lang, 1.0::DOUBLE AS score FROM documents WHERE source = 'src0') SELECT d.doc_id, d.n_chars, d.lang, coalesce(c.score, 0.0) AS score, c.score IS NOT NULL AS hit FROM documents d LEFT JOIN c ON d.n_chars = c.n_chars AND d.lang = c.lang")
 def score_cache_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang")
-    cache = d.filter("doc_id % 3 = 0").select("n_chars", "lang", F.lit(1.0).alias("score"))
-    return E.with_cache(d, cache, ["n_chars", "lang"], F.lit(0.0)).select("doc_id", "n_chars", "lang", "score", "hit")
+    d = read(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang", "source")
+    cache = d.filter("source = 'src0'").select("n_chars", "lang", F.lit(1.0).alias("score"))
+    return E.with_cache(d.drop("source"), cache, ["n_chars", "lang"], F.lit(0.0)).select("doc_id", "n_chars", "lang", "score", "hit")
 
 
-@register("sweep_cells", "SELECT p_partkey, r.* FROM part, (VALUES ('a', 1), ('a', 2), ('b', 5)) AS r(runner, setting) WHERE p_size <= 10")
+@register("sweep_cells", "SELECT p_partkey, r.* FROM part, (VALUES ('a', 1), ('a', 2), ('b', 5)) AS r(runner, setting)")
 def sweep_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = spark.createDataFrame([("a", 1), ("a", 2), ("b", 5)], "runner string, setting int")
-    return E.sweep(read(spark, sf_dir, "part").filter("p_size <= 10").select("p_partkey"), grid)
+    return E.sweep(read(spark, sf_dir, "part").select("p_partkey"), grid)
 
 
 @register("eval_scales", "SELECT p_partkey, p_size * 64 AS tier, CAST(array_to_string(CASE WHEN len(list_filter([1, 2, 4], lambda s: (p_size * 64 * s) * (p_size * 64 * s) <= 16777216)) > 0 THEN list_filter([1, 2, 4], lambda s: (p_size * 64 * s) * (p_size * 64 * s) <= 16777216) ELSE [1] END, ',') AS VARCHAR) AS scales FROM part")

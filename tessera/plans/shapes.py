@@ -65,12 +65,12 @@ def segment_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.crossings(polylines(spark, sf_dir))
 
 
-FOLD_SQL = PL_SQL.replace("pl AS", "p0 AS") + ", pl AS (SELECT line_id, seq, round(x - 9 * floor(x / 9), 6) AS x, y, sigma FROM p0 WHERE seq <= 60)"
+FOLD_SQL = PL_SQL.replace("pl AS", "p0 AS") + ", pl AS (SELECT line_id, seq, round(x - 9 * floor(x / 9), 6) AS x, y, sigma FROM p0)"
 
 
 def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first sixty points of each line on a circle of nine days, so that it crosses itself: a fixture of the next queries."""
-    return polylines(spark, sf_dir).filter("seq <= 60").withColumn("x", F.round(F.col("x") - 9 * F.floor(F.col("x") / 9), 6))
+    """Each line with its time folded to nine days, so that it crosses itself."""
+    return polylines(spark, sf_dir).withColumn("x", F.round(F.col("x") - 9 * F.floor(F.col("x") / 9), 6))
 
 
 FSG_SQL = FOLD_SQL + SG_SQL.removeprefix(PL_SQL)
