@@ -110,41 +110,56 @@ def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default
     return out
 
 
-def train(words: list[str], counts: np.ndarray) -> Model:
-    """Kneser-Ney models of the words. counts: words x 2 (ordinary, toxic)."""
-    prefixes, at, word, before = _grams(words)
-    model = Model(floor=1.0 / max(2, len(np.unique(_key(prefixes, at, 1)))))
-    for n in range(1, ORDER + 1):
+TRAIN_WORDS = 40_000
+
+
+def _distinct_grams(words: list[str], counts: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+    """Grams of one order: key, context's key, key without the first symbol, count in each class, whether at a word's start.
+
+    Words are read in parts, so what is held grows with the distinct grams, not with the text.
+    """
+    parts = []
+    for i in range(0, len(words), TRAIN_WORDS):
+        prefixes, at, word, before = _grams(words[i : i + TRAIN_WORDS])
         ok = before >= n - 1
         here, owner = at[ok], word[ok]
-        grams, place = np.unique(_key(prefixes, here, n), return_inverse=True)
-        place = place.astype(np.int32)
-        first = np.zeros(len(grams), np.int32)
-        first[place] = np.arange(len(here), dtype=np.int32)
-        contexts, under = np.unique(_key(prefixes, here[first], n, 0), return_inverse=True)
-        held = np.zeros((len(grams), 2))
-        extended = before[ok] >= n
-        for c in (0, 1):
-            seen = counts[owner, c] > 0
-            if n == ORDER:
-                held[:, c] = np.bincount(place, counts[owner, c], minlength=len(grams))
-                continue
+        grams, first, place = np.unique(_key(prefixes, here, n), return_index=True, return_inverse=True)
+        lead = here[first]
+        held = np.column_stack([np.bincount(place, counts[i + owner, c], minlength=len(grams)) for c in (0, 1)])
+        parts.append((grams, _key(prefixes, lead, n, 0), _key(prefixes, lead, n - 1), held, before[ok][first] == n - 1))
+    keys = np.concatenate([x[0] for x in parts])
+    grams, first, place = np.unique(keys, return_index=True, return_inverse=True)
+    del keys
+    contexts, suffixes, starts = (np.concatenate([x[k] for x in parts])[first] for k in (1, 2, 4))
+    held = np.concatenate([x[3] for x in parts])
+    del parts
+    return grams, contexts, suffixes, np.column_stack([np.bincount(place, held[:, c], minlength=len(grams)) for c in (0, 1)]), starts
+
+
+def train(words: list[str], counts: np.ndarray) -> Model:
+    """Kneser-Ney models of the words. counts: words x 2 (ordinary, toxic)."""
+    model = Model()
+    longer: tuple[np.ndarray, np.ndarray] | None = None
+    for n in range(ORDER, 0, -1):
+        grams, contexts_of, suffixes, raw, starts = _distinct_grams(words, counts, n)
+        held = raw
+        if longer is not None:
             # Continuations: in how many longer grams it ends; grams at a word's start count as often as they occur.
-            held[:, c] = np.bincount(place[~extended], counts[owner[~extended], c], minlength=len(grams))
-            inner = np.flatnonzero(extended & seen)
-            _, once = np.unique(_key(prefixes, here[inner], n + 1), return_index=True)
-            held[:, c] += np.bincount(place[inner[once]], minlength=len(grams))
+            held = np.where(starts[:, None], raw, 0)
+            place = np.searchsorted(grams, longer[0])
+            held += np.column_stack([np.bincount(place, longer[1][:, c], minlength=len(grams)) for c in (0, 1)])
+        longer = (suffixes, raw > 0)
         if n <= SHARED_ORDER:
-            held[:] = held.sum(axis=1, keepdims=True)
-        total = np.zeros((len(contexts), 2))
-        kinds = np.zeros((len(contexts), 2))
-        for c in (0, 1):
-            total[:, c] = np.bincount(under, held[:, c], minlength=len(contexts))
-            kinds[:, c] = np.bincount(under, held[:, c] > 0, minlength=len(contexts))
+            held = np.repeat(held.sum(axis=1, keepdims=True), 2, axis=1)
+        contexts, under = np.unique(contexts_of, return_inverse=True)
+        total = np.column_stack([np.bincount(under, held[:, c], minlength=len(contexts)) for c in (0, 1)])
+        kinds = np.column_stack([np.bincount(under, held[:, c] > 0, minlength=len(contexts)) for c in (0, 1)])
         with np.errstate(invalid="ignore", divide="ignore"):
             shares = np.where(held > 0, np.maximum(held - DISCOUNT, 0) / total[under], 0)
             left = np.where(total > 0, DISCOUNT * kinds / total, 1)
         model.orders.append(Order(grams, shares.astype(np.float32), contexts, left.astype(np.float32)))
+    model.orders.reverse()
+    model.floor = 1.0 / max(2, len(model.orders[0].grams))
     return model
 
 
