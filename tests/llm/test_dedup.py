@@ -71,6 +71,17 @@ def test_components_of_chains(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 103: 100, 150: 150, 200: 150}
 
 
+def test_components_of_long_shuffled_chains(spark):
+    rng = random.Random(8)
+    ids = list(range(4000))
+    rng.shuffle(ids)
+    chains = [ids[:3000], ids[3000:]]
+    links = [(a, b) for chain in chains for a, b in itertools.pairwise(chain)]
+    rng.shuffle(links)
+    rows = components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert len(rows) == 4000 and {r["node"]: r["component"] for r in rows} == {i: min(chain) for chain in chains for i in chain}
+
+
 def brute_passages(rows, width):
     seen, out = set(), {}
     for i, t in sorted(rows, key=lambda r: r[0]):
