@@ -91,10 +91,11 @@ def components(images: DataFrame, width: int, height: int) -> DataFrame:
     return images.mapInArrow(run, "image_id bigint, x int, y int, label int, component int")
 
 
-def components_by_rounds(labels: DataFrame, rounds: int = 64) -> DataFrame:
+def components_by_rounds(labels: DataFrame) -> DataFrame:
     """The same for images of any size, over the graph of runs: least run numbers spread until none changes.
 
-    Rounds are checkpointed in the folder that the session names; use it where an image doesn't fit a task.
+    A run takes the least number among its neighbours', then that run's own, which halves the paths
+    that are left. Rounds are checkpointed in the folder that the session names; use it where an image doesn't fit a task.
     """
     runs = row_runs(labels).withColumn("node", F.col("y").cast("long") * (1 << 32) + F.col("x0")).checkpoint()
     a, b = runs.alias("a"), runs.alias("b")
@@ -102,13 +103,14 @@ def components_by_rounds(labels: DataFrame, rounds: int = 64) -> DataFrame:
     down = a.join(b, meet).select("a.image_id", F.col("a.node").alias("u"), F.col("b.node").alias("w"))
     edges = down.unionByName(down.select("image_id", F.col("w").alias("u"), F.col("u").alias("w"))).checkpoint()
     state = runs.select("image_id", F.col("node").alias("u"), F.col("node").alias("least"))
-    for _ in range(rounds):
+    moved = 1
+    while moved:
         offers = edges.join(state, ["image_id", "u"]).select("image_id", F.col("w").alias("u"), "least").unionByName(state)
-        new = offers.groupBy("image_id", "u").agg(F.min("least").alias("least")).checkpoint()
+        nearer = offers.groupBy("image_id", "u").agg(F.min("least").alias("least"))
+        further = state.select("image_id", F.col("u").alias("least"), F.col("least").alias("further"))
+        new = nearer.join(further, ["image_id", "least"]).select("image_id", "u", F.least("least", "further").alias("least")).checkpoint()
         moved = new.alias("n").join(state.alias("o"), ["image_id", "u"]).filter(F.col("n.least") != F.col("o.least")).limit(1).count()
         state = new
-        if not moved:
-            break
     rank = F.dense_rank().over(Window.partitionBy("image_id").orderBy("least")) - 1
     named = state.withColumn("component", rank.cast("int")).join(runs.withColumnRenamed("node", "u"), ["image_id", "u"])
     return named.select("image_id", F.explode(F.sequence("x0", F.col("x1") - 1)).alias("x"), "y", "label", "component")

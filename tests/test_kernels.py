@@ -56,6 +56,30 @@ def test_components_by_rounds_agree(spark):
     assert got == want
 
 
+def test_components_by_rounds_of_tall_and_winding_images(spark):
+    spiral = np.zeros((15, 15), int)
+    y, x, dy, dx = 0, 0, 0, 1
+    spiral[0, 0] = 1
+    while True:
+        for _ in range(2):
+            ahead, beyond = (y + dy, x + dx), (y + 2 * dy, x + 2 * dx)
+            if 0 <= ahead[0] < 15 and 0 <= ahead[1] < 15 and not (0 <= beyond[0] < 15 and 0 <= beyond[1] < 15 and spiral[beyond]):
+                break
+            dy, dx = dx, -dy
+        else:
+            break
+        if spiral[ahead]:
+            break
+        y, x = ahead
+        spiral[y, x] = 1
+    grids = {1: np.ones((100, 2), int), 2: spiral}
+    rows = [(k, x, y, int(v)) for k, g in grids.items() for (y, x), v in np.ndenumerate(g)]
+    df = spark.createDataFrame(rows, "image_id long, x int, y int, label int")
+    got = {(r["image_id"], r["x"], r["y"]): r["component"] for r in R.components_by_rounds(df).collect()}
+    want = {(k, x, y): int(c) for k, g in grids.items() for (y, x), c in np.ndenumerate(R.label_components(g))}
+    assert got == want and spiral.sum() > 100
+
+
 def residual(x, y, s):
     w = 1 / s**2
     mx, my = (w * x).sum() / w.sum(), (w * y).sum() / w.sum()
