@@ -144,8 +144,8 @@ def encode_texts(docs: DataFrame, path: str | None = None, pattern: str | None =
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, ids binary, decoded binary")
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    return encoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+def digests(encoded: DataFrame, keep_ids: bool = False) -> DataFrame:
+    return encoded.select("doc_id", *(["ids"] if keep_ids else []), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def rank_map(ranks: dict[bytes, int], buckets: int = 1 << 16) -> Column:
