@@ -1,12 +1,13 @@
-"""Byte-level BPE: ranked merges folded over the bytes of distinct words; decoding by concatenation.
+"""Byte-level BPE: ranked merges over the bytes of distinct words; decoding by concatenation.
 
-`encode_words` is the fold as a Spark expression: higher-order functions over byte arrays and
-a literal rank map, for a table of distinct words. `encode_texts` does the same fold for whole
-documents in Arrow batches, each distinct word of a worker once; the README says why, with
-figures. Decoding joins the bytes of the ids.
+`encode_texts`, which the query uses, merges in Python for whole documents in Arrow batches,
+each distinct word of a task once; the README says why, with figures. `encode_words` is the
+fold as a Spark expression: higher-order functions over byte arrays and a literal rank map,
+for a table of distinct words. Decoding joins the bytes of the ids.
 
-Rows: a null or empty text has no ids (0 tokens, hashes of nothing). Words of any length merge
-in n log n steps. Repeated rows stay; extra columns are ignored; empty tables give empty results.
+Rows: a null or empty text has no ids (0 tokens, hashes of nothing); a null doc_id stays null.
+Words of any length merge in n log n steps. Repeated rows stay; extra columns are ignored;
+empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -23,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunks, column, long_ids, table
+from tessera.llm.common import chunks, column, long_ids, table, tidied
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Words a worker remembers; beyond that it starts anew, which changes no result.
-REMEMBERED = 300_000
+#: Words a task remembers, and the most letters of such a word; beyond that it starts anew, which changes no result.
+REMEMBERED, LONGEST_REMEMBERED = 100_000, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -103,9 +104,14 @@ class Encoder:
         except KeyError:
             if len(known) > REMEMBERED:
                 known.clear()
-            for w in set(words).difference(known):
+            new = set(words).difference(known)
+            for w in new:
                 known[w] = np.array(merged(w.encode("utf-8", "surrogatepass"), self.ranks), "<u4").tobytes()
-            return b"".join([known[w] for w in words])
+            ids = b"".join([known[w] for w in words])
+            for w in new:
+                if len(w) > LONGEST_REMEMBERED:
+                    del known[w]
+            return ids
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -133,13 +139,16 @@ def encode_texts(docs: DataFrame, path: str | None = None, pattern: str | None =
     """doc_id, ids (binary: little-endian unsigned 32-bit) and decoded (binary, from the ids)."""
     path, pattern = _defaults(path, pattern)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
+        own.known.clear()
         for batch in chunks(batches, "text"):
             ids = [own.encode(t or "") for t in column(batch, "text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [long_ids(batch), pa.array(ids, pa.binary()), pa.array([own.decode(x) for x in ids], pa.binary())], names=["doc_id", "ids", "decoded"]
             )
+        own.known.clear()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, ids binary, decoded binary")
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Polynomial, chunks, column, mix, sliding_min, table
+from tessera.llm.common import Polynomial, chunks, column, mix, sliding_min, table, tidied
 
 K, S = 20, 8
 SIZE = 128
@@ -140,6 +140,7 @@ def fingerprint_with_next(docs: DataFrame, parts: int | None = None) -> DataFram
     """
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in chunks(batches, "text"):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import buffers, chunks, column, long_ids, table
+from tessera.llm.common import buffers, chunks, column, long_ids, table, tidied
 
 ROW_BYTES = 64
 TILE = (8, 9)
@@ -171,6 +171,7 @@ def decode_media(images: DataFrame, data: str = "image", keep: tuple[str, ...] =
     """
     kept = images.select(*keep, F.col(data).alias("__data"))
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -207,6 +208,7 @@ def store_texts(docs: DataFrame, form: str = "pgm") -> DataFrame:
     """
     encode = {"pgm": encode_pgm, "bmp": encode_bmp}[form]
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             raw, starts, ends = buffers(column(batch, "text"))

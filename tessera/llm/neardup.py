@@ -14,7 +14,9 @@ are dealt over the cluster; no cap drops any.
 
 Rows: null texts and texts without words have no shingles and link with nothing. Texts with fewer
 words than a shingle are one shingle. Rows that repeat a doc_id with another text link as
-that doc_id. Extra columns are ignored; an empty table gives an empty result.
+that doc_id. A text without a doc_id stands for itself (component_id null, kept) unless a
+document with one has the same shingles. Extra columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Polynomial, chunks, column, long_ids, mix, packed, table, written
+from tessera.llm.common import Polynomial, chunks, column, long_ids, mix, packed, table, tidied, written
 from tessera.llm.components import connected_components
 
 WORDS, SIMILARITY = 5, 80
@@ -118,6 +120,7 @@ SIGNED = "doc_id bigint, n_shingles bigint, digest string, bands array<bigint>,
 def signed(docs: DataFrame, words: int, rows: int) -> DataFrame:
     """n_shingles, a digest of the shingle set, band keys and a byte of each coordinate for every document."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             values, bounds = shingles(column(batch, "text"), words)
@@ -197,6 +200,7 @@ def _links(group: pa.Table, alike) -> list[tuple[int, int]]:
 
 
 def _blocks_linked(blocks: DataFrame, group: str, alike) -> DataFrame:
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[tuple[int, int]] = set()
         for groups in _groups(batches, [group, "i", "j"]):
@@ -258,6 +262,7 @@ def _intersections(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
 def shingle_sets(docs: DataFrame, words: int, keep: tuple[str, ...]) -> DataFrame:
     """The full sorted shingle sets as binary, with the columns to keep (bigint)."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             values, bounds = shingles(column(batch, "text"), words)
@@ -293,7 +298,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     class_of = ids.join(components, F.col("id") == F.col("node"), "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     out = rows.join(class_of, "digest", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:

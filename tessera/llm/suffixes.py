@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BASE_2, Polynomial, chunks, column, mix, packed, ranges, sliding_min, table, written
+from tessera.llm.common import BASE_2, Polynomial, chunks, column, mix, packed, ranges, sliding_min, table, tidied, written
 
 WIDTH = 100
 GRAM = 24
@@ -171,6 +171,7 @@ STRETCH = "doc_id bigint, text_hash bigint, anchor bigint, whole bigint, packed
 def _stretch_rows(docs: DataFrame, width: int) -> DataFrame:
     """A row for each stretch; packed holds its start, number of strings and anchor's offset."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             raw, bounds = packed(column(batch, "text"))
@@ -189,6 +190,7 @@ def _cut_out(chosen: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """Each stretch with its bytes. Texts travel compressed."""
     wanted = chosen.groupBy(*PLACE).agg(F.collect_list(F.struct("anchor", "packed", "hot")).alias("parts"))
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()
         for batch in batches:
@@ -228,6 +230,7 @@ def _merged_batches(run, rows: int = 20_000):
 
 
 def _compressed(docs: DataFrame) -> DataFrame:
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
@@ -240,6 +243,7 @@ def _compressed(docs: DataFrame) -> DataFrame:
 def _sorted_buckets(pieces: DataFrame, width: int) -> DataFrame:
     """Spans that the suffix sort of each bucket finds."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         for batch in batches:
@@ -305,6 +309,7 @@ def _spans(ids: np.ndarray, hashed: np.ndarray, where: np.ndarray, width: int) -
 def _hot_buckets(pieces: DataFrame, width: int) -> DataFrame:
     """Spans in buckets too large for one task: their strings' two hashes are grouped over the cluster."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, bounds = packed(column(batch, "bytes"))
@@ -355,6 +360,7 @@ def dedup_passages(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     spans = repeated_spans(own, width)
     by_place = spans.groupBy(*PLACE).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()
         for batch in batches:

@@ -13,7 +13,9 @@ So the model has a size bound and is broadcast; every text is scored whole.
 
 Rows: null and empty texts have no words and get the score of a text without evidence. Labels
 that are null are ignored; of labels that disagree on a doc_id the toxic one holds. Without
-labels of both classes every score is 0. Repeated rows stay; extra columns are ignored.
+labels of both classes every score is 0; with one labelled text of a class the curve is a
+fixed one over the length-normalised difference. A null doc_id is not held out and has no
+label. Repeated rows stay; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Polynomial, chunks, column, long_ids, table
+from tessera.llm.common import Polynomial, chunks, column, long_ids, table, tidied
 
 ORDER = 6
 SHARED_ORDER = 3
@@ -38,7 +40,8 @@ MAX_ROWS = 20_000
 MAX_BYTES = 24 << 20
 THRESHOLD = 0.3
 HELD_OUT = 2
-REMEMBERED = 250_000
+#: Words a task remembers, the most letters of such a word, and how many new ones it looks up at once; no result depends on them.
+REMEMBERED, LONGEST_REMEMBERED, LOOKED_UP = 100_000, 64, 10_000
 START, END = 2, 3
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -164,6 +167,8 @@ def train(words: list[str], counts: np.ndarray) -> Model:
 
 
 FEATURES = 5
+#: The curve where no row is left to fit it: the length-normalised difference alone.
+UNFITTED = [4.0, 0.0, 0.0, 0.0, 0.0, -1.0]
 
 
 def features(ratios: np.ndarray) -> np.ndarray:
@@ -201,9 +206,14 @@ class Scorer:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         new = list(set().union(*split).difference(self.known)) if split else []
-        for i in range(0, len(new), 50_000):
-            self.known.update(zip(new[i : i + 50_000], self.model.ratios(new[i : i + 50_000]).tolist(), strict=True))
-        return np.array([features(np.array([self.known[w] for w in words])) for words in split]).reshape(-1, FEATURES)
+        for i in range(0, len(new), LOOKED_UP):
+            some = new[i : i + LOOKED_UP]
+            self.known.update(zip(some, self.model.ratios(some).tolist(), strict=True))
+        out = np.array([features(np.array([self.known[w] for w in words])) for words in split]).reshape(-1, FEATURES)
+        for w in new:
+            if len(w) > LONGEST_REMEMBERED:
+                del self.known[w]
+        return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.model.weights is None:
@@ -244,31 +254,35 @@ def _sampled(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, int], dict[i
     return found, totals
 
 
-def _calibrates(doc_id: int) -> bool:
-    """A quarter of the sample is left to the curve."""
-    return zlib.crc32(b"curve:%d" % doc_id) % 4 == 0
+def calibrating(sample: dict[int, int]) -> set[int]:
+    """The rows left to the curve: of each class a quarter, chosen by hash, one at least and never all."""
+    found: set[int] = set()
+    for c in set(sample.values()):
+        own = sorted((i for i in sample if sample[i] == c), key=lambda i: (zlib.crc32(b"curve:%d" % i), i))
+        found.update(own[: min(max(1, len(own) // 4), len(own) - 1)])
+    return found
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """The models and the curve, from the sample of labelled rows."""
     spark = docs.sparkSession
     sample, totals = _sampled(docs, labels)
-    ends = [{i for i, c in sample.items() if _calibrates(i) == side} for side in (False, True)]
-    if any(len({sample[i] for i in end}) < 2 for end in ends):
+    if len(set(sample.values())) < 2:
         return Model()
-    few = spark.createDataFrame([(i, c) for i, c in sample.items()], "doc_id long, toxic int")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few), "doc_id").select("doc_id", "toxic", "text")
+    curve = calibrating(sample)
+    few = spark.createDataFrame([(i, c, i in curve) for i, c in sample.items()], "doc_id long, toxic int, curve boolean")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few), "doc_id").select("toxic", "curve", "text")
 
+    @tidied
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
-            for i, c, text in zip(*(column(batch, x).to_pylist() for x in ("doc_id", "toxic", "text")), strict=True):
-                if not _calibrates(i):
-                    seen[c].update(words_of(text))
+            for c, text in zip(*(column(batch, x).to_pylist() for x in ("toxic", "text")), strict=True):
+                seen[c].update(words_of(text))
         words = list(set(seen[0]) | set(seen[1]))
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([seen[c][w] for w in words], pa.int64()) for c in (0, 1))], names=["word", "ordinary", "toxic"])
 
-    counted = texts.mapInArrow(count, "word string, ordinary long, toxic long").groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")).toArrow()
+    counted = texts.filter("NOT curve").mapInArrow(count, "word string, ordinary long, toxic long").groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")).toArrow()
     if not counted.num_rows:
         return Model()
     counted = counted.sort_by("word")
@@ -279,25 +293,26 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     del words, counts
     shared = spark.sparkContext.broadcast(model)
 
+    @tidied
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in chunks(batches, "text"):
-            ids, classes, texts = (column(batch, x).to_pylist() for x in ("doc_id", "toxic", "text"))
-            keep = [k for k, i in enumerate(ids) if _calibrates(i)]
-            x = scorer.features([texts[k] for k in keep])
-            yield pa.RecordBatch.from_arrays([pa.array([classes[k] for k in keep], pa.int32()), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["toxic", "x"])
+            x = scorer.features(column(batch, "text").to_pylist())
+            yield pa.RecordBatch.from_arrays([column(batch, "toxic"), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["toxic", "x"])
 
-    rows = texts.mapInArrow(measure, "toxic int, x array<double>").toArrow()
+    rows = texts.filter("curve").mapInArrow(measure, "toxic int, x array<double>").toArrow()
+    shared.destroy()
     y = rows.column("toxic").to_numpy().astype(np.float64)
     if len(set(y.tolist())) < 2:
-        return Model()
+        # A class has one labelled row only, and the models have it.
+        model.weights = np.array(UNFITTED)
+        return model
     x = np.array(rows.column("x").to_pylist())
     x = x[np.lexsort((*x.T, y))]
     y = np.sort(y)
     # Classes weigh as they occur among all rows that may be learnt from.
     weight = np.where(y == 1, totals[1] / max(1, (y == 1).sum()), totals[0] / max(1, (y == 0).sum()))
     model.weights = fit_curve(x, y, weight * len(y) / weight.sum())
-    shared.unpersist()
     return model
 
 
@@ -305,6 +320,7 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, and mean_ratio (the length-normalised difference) of every text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in chunks(batches, "text"):
@@ -318,6 +334,7 @@ def keep_ordinary(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     """The documents that score under the threshold, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in chunks(batches, "text"):

@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import zlib
 
 import duckdb
 import numpy as np
@@ -187,6 +188,56 @@ def test_kneser_ney_sums_to_one():
         np.testing.assert_allclose(total, 1, rtol=1e-3)
 
 
+def brute_ratio(words, counts, word):
+    """log p(word | toxic) - log p(word | ordinary) by plain dictionaries of strings."""
+    marked = [f"^{w}$" for w in words]
+    raw = [{} for _ in range(toxicity.ORDER + 1)]
+    for w, both in zip(marked, counts, strict=True):
+        for n in range(1, toxicity.ORDER + 1):
+            for i in range(1, len(w)):
+                if i - n + 1 >= 0:
+                    gram = w[i - n + 1 : i + 1]
+                    raw[n][gram] = [x + y for x, y in zip(raw[n].get(gram, (0, 0)), both, strict=True)]
+    logs = []
+    for c in (0, 1):
+        held = [None] * (toxicity.ORDER + 1)
+        for n in range(toxicity.ORDER, 0, -1):
+            held[n] = {}
+            for gram, both in raw[n].items():
+                kinds = [sum(g[1:] == gram and x[k] > 0 for g, x in raw[n + 1].items()) if n < toxicity.ORDER else 0 for k in (0, 1)]
+                own = [both[k] if n == toxicity.ORDER or gram[0] == "^" else kinds[k] for k in (0, 1)]
+                held[n][gram] = sum(own) if n <= toxicity.SHARED_ORDER else own[c]
+
+        def p(gram, held=held):
+            if not gram:
+                return 1 / max(2, len(held[1]))
+            lower, n = p(gram[1:], held), len(gram)
+            total = sum(x for g, x in held[n].items() if g[:-1] == gram[:-1])
+            kinds = sum(x > 0 for g, x in held[n].items() if g[:-1] == gram[:-1])
+            return max(held[n].get(gram, 0) - toxicity.DISCOUNT, 0) / total + toxicity.DISCOUNT * kinds / total * lower if total else lower
+
+        w = f"^{word}$"
+        logs.append(sum(np.log(p(w[max(0, i + 1 - toxicity.ORDER) : i + 1])) for i in range(1, len(w))))
+    return logs[1] - logs[0]
+
+
+def test_kneser_ney_against_plain_dictionaries():
+    words = ["abc", "abd", "xyz", "ab", "zzz", "abcab", "abcabcabc", "xyzzy"]
+    counts = [(5, 0), (3, 1), (2, 0), (7, 2), (0, 4), (1, 1), (2, 3), (0, 1)]
+    model = toxicity.train(words, np.array(counts, float))
+    asked = [*words, "q", "abq", "zz", "xyzabc", "cab"]
+    np.testing.assert_allclose(model.ratios(asked), [brute_ratio(words, counts, w) for w in asked], atol=1e-4)
+
+
+def test_toxicity_with_one_toxic_text(spark):
+    docs, labels = toxic_table(spark, 200)
+    first = next(i for i in range(0, 200, 5) if zlib.crc32(str(i).encode()) % 4 != 2)
+    one = labels.filter(f"toxic = 0 OR doc_id = {first}").filter("doc_id < 1000")
+    scores = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, one).collect()}
+    assert np.mean([scores[i] for i in scores if i % 5 == 0]) > 2 * np.mean([scores[i] for i in scores if i % 5])
+    assert toxicity.calibrating({1: 0, 2: 0, 3: 1}).isdisjoint({3}) and len(toxicity.calibrating({i: i % 2 for i in range(80)})) == 20
+
+
 def toxic_table(spark, n=600):
     import random
 
@@ -201,8 +252,6 @@ def toxic_table(spark, n=600):
 
 
 def test_toxicity_on_rows_that_it_has_not_learnt_from(spark):
-    import zlib
-
     docs, labels = toxic_table(spark)
     got = toxicity.toxicity(docs, labels).collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)
