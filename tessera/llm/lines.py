@@ -1,19 +1,25 @@
-"""Line deduplication: repeated runs of lines found by prefix doubling over line-ID sequences.
-
-Each document is a sequence of line ids (two 64-bit hashes of the trimmed line). Doubling
-names the runs of 2, 4, 8 ... lines at every position from two names of half the length, so
-any run's name comes from two overlapping ones. Suffixes that share a name over r lines are
-an interval of the suffix array with a longest common prefix of r at least; intervals are
-grouped across the cluster, their first suffix (lowest doc_id, then position) keeps its
-lines and the others lose them. Overlapping intervals add up to maximal runs.
-
-A run counts if it has `min_words` words. It is enough to look at the shortest such runs from
-each line on and up to each line: together they cover every repeated run of that many words.
-
-Rows: null and empty texts have no lines to remove. Lines without words belong to no run and
-stay. Rows that repeat both doc_id and text share their places, so they don't remove each
-other; those that repeat a doc_id only come in the order of their text's hash. Extra
-columns are kept; columns of the operator's own begin with two underscores.
+"""Line deduplication: repeated runs of lines by prefix doubling over line-ID sequences.
+
+Each document is a sequence of line ids: 128 bits of SHA-256 of the trimmed line, so equal ids
+are equal lines. A suffix stands at every line. Level k of the suffix array groups the
+suffixes that share their first 2**k lines: an interval whose longest common prefix is that
+at least. A group's rank is its first suffix (lowest doc_id, then position), so a suffix of
+another rank than itself begins a later copy. Level k + 1 groups level k's suffixes by two
+ranks, their own and that of the suffix 2**k lines on; it is exact and compares no lines.
+Suffixes alone in their group leave the levels, so each is smaller than the one before,
+and the levels end where no run of that length repeats.
+
+A repeated run counts if it has `min_lines` lines; its later copies are deleted, wherever
+they overlap. The runs of just `min_lines` lines cover all longer ones, and two overlapping
+groups of a level rank them; so with one line, the default, deleting needs the first level
+only. `depth` asks for all levels: the longest power of two of lines that a document shares
+with an earlier suffix.
+
+Rows: null and empty texts have no lines to remove. Lines without words (of white space)
+belong to no run, don't part one, and stay. Rows that repeat both doc_id and text share their
+places, so they don't remove each other; those that repeat a doc_id only come in the order of
+their text's hash; a null doc_id comes first. A line may be of any length. Extra columns
+are kept; columns of the operator's own begin with two underscores, which no input column may.
 """
 
 from __future__ import annotations
@@ -21,112 +27,131 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import table, written
 
-MIN_WORDS = 10
+WORD = r"[^\x20\x09-\x0D]"
+DOC = ["__key", "__hash"]
 
 
-def _named(frame: DataFrame, column: str, levels: int) -> DataFrame:
-    """Adds a column for each level of names, each computed from the one before."""
+def _place(docs: DataFrame) -> tuple[Column, Column]:
+    """Which document a row is: its id, a null one before all others, and its text's hash."""
+    return F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))), F.xxhash64(docs["text"])
 
-    def doubled(last: str, half: int) -> Column:
-        return F.transform(F.slice(last, 1, F.greatest(F.size(last) - half, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(F.col(last), i + half)))
 
-    for k in range(levels):
-        frame = frame.withColumn(f"{column}{k + 1}", doubled(f"{column}{k}", 1 << k))
-    return frame
+def suffixes(docs: DataFrame) -> DataFrame:
+    """A row for each line with words: document, s (number among such lines), i (among all lines) and id."""
+    key, hashed = _place(docs)
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("line"))), lambda x: x["line"].rlike(WORD))
+    ids = F.transform(lines, lambda x: F.struct(x["i"].alias("i"), F.unhex(F.substring(F.sha2(F.trim(x["line"]).cast("binary"), 256), 1, 32)).alias("id")))
+    return docs.select(key.alias("__key"), hashed.alias("__hash"), F.posexplode(ids).alias("s", "x")).select(*DOC, "s", "x.i", "x.id")
 
 
-def _shortest(words: Column, at: Column, reach: int) -> Column:
-    """How many elements from the first on add up to `reach` words, or null."""
-    seen = F.aggregate(
-        F.slice(words, at, F.lit(reach)),
-        F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("sum")),
-        lambda a, w: F.when(a["sum"] >= reach, a).otherwise(F.struct((a["n"] + 1).alias("n"), (a["sum"] + w).alias("sum"))),
-    )
-    return F.when(seen["sum"] >= reach, seen["n"])
-
-
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, __text_hash and __gone: the indices of the lines that later copies of runs cover."""
-    levels = max(0, (min_words - 1).bit_length())
-    text = F.coalesce("text", F.lit(""))
-    split = docs.select(F.col("doc_id"), F.xxhash64("text").alias("__text_hash"), F.split(text, "\n").alias("all")).withColumn(
-        "kept",
-        F.filter(
-            F.transform("all", lambda x, i: F.struct(i.alias("i"), F.trim(x).alias("line"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("w"))),
-            lambda x: x["w"] > 0,
-        ),
-    )
-    ids = split.select(
-        "doc_id",
-        "__text_hash",
-        F.transform("kept", lambda x: x["i"]).alias("at"),
-        F.transform("kept", lambda x: x["w"]).alias("w"),
-        F.transform("kept", lambda x: F.xxhash64(x["line"])).alias("a0"),
-        F.transform("kept", lambda x: F.xxhash64(F.lit(1), x["line"])).alias("b0"),
-    ).filter(F.size("w") > 0)
-    named = _named(_named(ids, "a", levels), "b", levels)
-    size = F.size("w")
-    onward = F.transform(F.sequence(F.lit(1), size), lambda i: F.struct(i.alias("s"), _shortest(F.col("w"), i, min_words).alias("r")))
-    # The reversed sequence gives the shortest runs up to each line.
-    back = F.transform(F.sequence(F.lit(1), size), lambda i: F.struct(i.alias("s"), _shortest(F.reverse(F.col("w")), i, min_words).alias("r")))
-    upto = F.transform(back, lambda x: F.struct((size - x["s"] - x["r"] + 2).alias("s"), x["r"].alias("r")))
-    runs = named.withColumn("run", F.explode(F.filter(F.array_distinct(F.concat(onward, upto)), lambda x: x["r"].isNotNull())))
-
-    def name(column: str) -> Column:
-        r, s = F.col("run.r"), F.col("run.s")
-        found = None
-        for k in range(levels, -1, -1):
-            two = F.xxhash64(F.get(f"{column}{k}", s - 1), F.get(f"{column}{k}", s - 1 + r - (1 << k)), r)
-            found = F.when(r >= (1 << k), two) if found is None else found.when(r >= (1 << k), two)
-        return found
-
-    placed = runs.select("doc_id", "__text_hash", F.col("run.s").alias("s"), F.col("run.r").alias("r"), F.get("at", F.col("run.s") - 1).alias("from"), F.get("at", F.col("run.s") + F.col("run.r") - 2).alias("to"), name("a").alias("a"), name("b").alias("b"))
-    place = F.struct("doc_id", "__text_hash", "from")
-    firsts = placed.groupBy("a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("a", "b", "first")
-    later = placed.join(firsts, ["a", "b"]).filter(place > F.col("first"))
-    return later.groupBy("doc_id", "__text_hash").agg(F.collect_set(F.struct("from", "to")).alias("__gone"))
-
-
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with later copies of repeated runs of lines deleted from text, plus __n_lines and __n_removed."""
-    gone = repeated_lines(docs, min_words).withColumnsRenamed({"doc_id": "__id", "__text_hash": "__hash"})
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash")), "left")
+def _ranked(suffixed: DataFrame, by: list[str]) -> DataFrame:
+    """Suffixes that are not alone in their group, with its rank: the group's first suffix."""
+    place = F.struct(*DOC, "s")
+    groups = suffixed.groupBy(*by).agg(F.min(place).alias("rank"), F.max(place).alias("last")).filter("rank <> last").drop("last")
+    return suffixed.join(groups, by).select(*DOC, "s", "rank")
+
+
+def _joined(level: DataFrame, apart: int) -> DataFrame:
+    """Suffixes of a level with the rank of the one `apart` lines on, if that is in the level too."""
+    then = level.select(*DOC, (F.col("s") - apart).alias("s"), F.col("rank").alias("then"))
+    return level.withColumnRenamed("rank", "now").join(then, [*DOC, "s"])
+
+
+def first_level(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The suffixes, and the first level of groups, as tables."""
+    every = written(suffixes(docs), "line-suffixes")
+    return every, written(_ranked(every, ["id"]).distinct(), "line-level")
+
+
+def next_level(level: DataFrame, reach: int) -> DataFrame:
+    """Of the level of runs of `reach` lines the one of twice as many, as a table."""
+    return written(_ranked(_joined(level, reach), ["now", "then"]), "line-level")
+
+
+def _later(level: DataFrame) -> DataFrame:
+    return level.filter(F.col("rank") != F.struct(*DOC, "s"))
+
+
+def later_copies(every: DataFrame, level: DataFrame, min_lines: int = 1) -> DataFrame:
+    """document, __gone: s and i of each line that a later copy of a run of `min_lines` lines covers."""
+    reach = 1
+    while 2 * reach <= min_lines:
+        level, reach = next_level(level, reach), 2 * reach
+    if reach < min_lines:
+        level = _ranked(_joined(level, min_lines - reach), ["now", "then"])
+    starts = _later(level).select(*DOC, "s")
+    covered = starts if min_lines == 1 else starts.select(*DOC, F.explode(F.sequence(F.col("s"), F.col("s") + min_lines - 1)).alias("s")).distinct()
+    return every.join(covered, [*DOC, "s"], "left_semi").groupBy(*DOC).agg(F.sort_array(F.collect_set(F.struct("s", "i"))).alias("__gone"))
+
+
+def depths(level: DataFrame) -> DataFrame:
+    """document, __depth: the longest power of two of lines of which the document has a later copy."""
+    reach, found = 1, None
+    while level.limit(1).count():
+        own = _later(level).select(*DOC, F.lit(reach).cast("long").alias("__depth"))
+        found = own if found is None else found.unionByName(own)
+        level, reach = next_level(level, reach), 2 * reach
+    if found is None:
+        return level.select(*DOC, F.lit(0).cast("long").alias("__depth"))
+    return found.groupBy(*DOC).agg(F.max("__depth").alias("__depth"))
+
+
+def _bits(gone: Column) -> Column:
+    """The deleted lines as bytes, 1 for a deleted one, so that a look at a line takes no search."""
+    at = F.transform(gone, lambda x: x["i"])
+    return F.array_join(F.transform(at, lambda i, j: F.concat(F.repeat(F.lit("0"), i - F.coalesce(F.get(at, j - 1), F.lit(-1)) - 1), F.lit("1"))), "").cast("binary")
+
+
+def _deleted(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the lines gone, with __n_lines, __n_removed and __n_runs (of lines that follow one another)."""
+    key, hashed = _place(docs)
+    joined = docs.join(gone.withColumnsRenamed({"__key": "__own", "__hash": "__own_hash"}), (key == F.col("__own")) & (hashed == F.col("__own_hash")), "left")
     lines = F.split("text", "\n")
-    # Lines without words inside a run stay, as they belong to none.
-    kept = F.filter(lines, lambda x, i: ~(F.exists("__gone", lambda g: (g["from"] <= i) & (i <= g["to"])) & x.rlike(r"[^\x20\x09-\x0D]")))
-    joined = joined.withColumn("__kept", F.when(F.col("__gone").isNotNull(), kept))
-    count = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
-    out = joined.withColumn("__n_lines", count).withColumn("__n_removed", F.coalesce(F.size(lines) - F.when(F.col("__kept").isNotNull(), F.size("__kept")), F.lit(0)).cast("long"))
-    text = F.when(F.col("__kept").isNull(), F.col("text")).otherwise(F.array_join("__kept", "\n"))
-    return out.withColumn("text", text).select(*docs.columns, "__n_lines", "__n_removed")
+    kept = F.filter(lines, lambda x, i: F.coalesce(F.substring(F.col("__bits"), i + 1, F.lit(1)), F.lit(b"")) != F.lit(b"1"))
+    runs = F.size(F.filter(F.transform("__gone", lambda x, j: x["s"] - F.coalesce(F.get("__gone", j - 1)["s"], F.lit(-2))), lambda d: d > 1))
+    joined = joined.withColumn("__bits", F.when(F.col("__gone").isNotNull(), _bits(F.col("__gone"))))
+    out = joined.select(
+        *[docs[c] for c in docs.columns if c != "text"],
+        F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("__n_lines"),
+        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("__n_removed"),
+        F.when(F.col("__gone").isNull(), 0).otherwise(runs).cast("long").alias("__n_runs"),
+        *([F.coalesce("__depth", F.lit(0).cast("long")).alias("__depth")] if "__depth" in gone.columns else []),
+    )
+    return out.select(*docs.columns, *out.columns[len(docs.columns) :])
+
+
+def dedup_lines(docs: DataFrame, min_lines: int = 1, depth: bool = False) -> DataFrame:
+    """docs with later copies of repeated runs of lines deleted from text, plus __n_lines, __n_removed, __n_runs, and __depth if asked for."""
+    every, level = first_level(docs)
+    gone = later_copies(every, level, min_lines)
+    if depth:
+        # A document has a depth if its first level has a later copy; fewer deletions come with longer runs.
+        gone = gone.join(depths(level), DOC, "full")
+    return _deleted(docs, gone)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = dedup_lines(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    return done.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
-
-
-def later_copies_sql(source: str, min_words: int = MIN_WORDS) -> str:
-    """CTEs up to `line_kept(doc_id, i, line)` over a relation of doc_id and text."""
-    return rf"""
-line_all AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM {source} WHERE text IS NOT NULL),
-line_w AS (SELECT *, CAST(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS BIGINT) AS w FROM line_all),
-line_s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM line_w WHERE w > 0),
-run_f AS (SELECT a.doc_id, a.k AS s, min(b.k) AS e FROM line_s a JOIN line_s b ON a.doc_id = b.doc_id AND b.k BETWEEN a.k AND a.k + {min_words - 1} AND b.c - a.c + a.w >= {min_words} GROUP BY 1, 2),
-run_b AS (SELECT b.doc_id, max(a.k) AS s, b.k AS e FROM line_s a JOIN line_s b ON a.doc_id = b.doc_id AND b.k BETWEEN a.k AND a.k + {min_words - 1} AND b.c - a.c + a.w >= {min_words} GROUP BY 1, 3),
-run_u AS (SELECT doc_id, s, e FROM run_f UNION SELECT doc_id, s, e FROM run_b),
-run_t AS (SELECT u.doc_id, u.s, u.e, string_agg(trim(l.line, ' '), chr(10) ORDER BY l.k) AS run FROM run_u u JOIN line_s l ON l.doc_id = u.doc_id AND l.k BETWEEN u.s AND u.e GROUP BY 1, 2, 3),
-run_n AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, s) AS n FROM run_t),
-line_gone AS (SELECT DISTINCT l.doc_id, l.i FROM run_n r JOIN line_s l ON r.n > 1 AND l.doc_id = r.doc_id AND l.k BETWEEN r.s AND r.e),
-line_kept AS (SELECT a.doc_id, a.i, a.line FROM line_all a ANTI JOIN line_gone g ON a.doc_id = g.doc_id AND a.i = g.i)"""
-
-
-SQL = f"""
-WITH {later_copies_sql("documents")},
-n AS (SELECT doc_id, count(*) AS n FROM line_all GROUP BY doc_id),
-k AS (SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS text FROM line_kept GROUP BY doc_id)
-SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(n.n, 0) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
-FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
+    done = dedup_lines(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), depth=True)
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256")
+    return done.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.col("__n_runs").alias("n_runs"), F.col("__depth").alias("depth"), digest)
+
+
+SQL = r"""
+WITH a AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, i, trim(line, ' ') AS line, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM a WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+r AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, k) AS n FROM s),
+g AS (SELECT doc_id, i, k, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS island FROM r WHERE n > 1),
+p AS (SELECT x.doc_id, y.doc_id AS other, x.k, x.k - y.k AS diagonal FROM r x JOIN r y ON x.line = y.line AND (y.doc_id < x.doc_id OR y.doc_id = x.doc_id AND y.k < x.k)),
+q AS (SELECT doc_id, k - row_number() OVER (PARTITION BY doc_id, other, diagonal ORDER BY k) AS island, other, diagonal FROM p),
+l AS (SELECT doc_id, count(*) AS n FROM q GROUP BY doc_id, other, diagonal, island),
+d AS (SELECT doc_id, CAST(pow(2, floor(log2(max(n)))) AS BIGINT) AS depth FROM l GROUP BY doc_id),
+c AS (SELECT doc_id, count(*) AS n, count(DISTINCT island) AS runs FROM g GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n FROM a GROUP BY doc_id),
+k AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM (SELECT a.* FROM a ANTI JOIN g ON a.doc_id = g.doc_id AND a.i = g.i) GROUP BY doc_id)
+SELECT o.doc_id, CAST(coalesce(t.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_removed, CAST(coalesce(c.runs, 0) AS BIGINT) AS n_runs,
+       coalesce(d.depth, 0) AS depth, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM documents o LEFT JOIN t USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN d USING (doc_id) LEFT JOIN k USING (doc_id)
 """

@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import random
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -141,35 +142,48 @@ def test_suffix_sort():
     assert (np.diff(runs) == [int(a != b) for a, b in itertools.pairwise(texts)]).all()
 
 
-def brute_lines(rows, least):
-    """Every run of `least` words at least whose first copy is elsewhere loses its lines."""
-    docs = {}
-    for i, t in rows:
-        kept = [(n, x.strip(" "), len(x.encode().split())) for n, x in enumerate((t or "").split("\n"))] if t is not None else []
-        docs[i] = [x for x in kept if x[2]]
-    seen, gone = {}, set()
+def brute_lines(rows, least=1):
+    """Of each document what is left, the deleted lines, their runs and the longest repeated run: every run of `least` lines whose first copy is elsewhere goes."""
+    docs = {i: [(n, x.strip(" ")) for n, x in enumerate((t or "").split("\n")) if x.encode().split()] for i, t in rows}
+    seen, gone, longest = {}, {i: set() for i in docs}, dict.fromkeys(docs, 0)
     for i in sorted(docs):
-        seq = docs[i]
+        seq = [x for _, x in docs[i]]
         for a in range(len(seq)):
-            total, run = 0, []
-            for b in range(a, len(seq)):
-                total += seq[b][2]
-                run.append(seq[b][1])
-                if total >= least:
-                    key = "\n".join(run)
-                    if seen.setdefault(key, (i, a)) != (i, a):
-                        gone |= {(i, seq[k][0]) for k in range(a, b + 1)}
-                    if b - a > 12:
-                        break
-    return {i: "\n".join(x for n, x in enumerate((t or "").split("\n")) if (i, n) not in gone) for i, t in rows}
-
-
-def test_lines(spark, awkward):
+            for b in range(a + 1, len(seq) + 1):
+                key = tuple(seq[a:b])
+                if seen.setdefault(key, (i, a)) != (i, a):
+                    longest[i] = max(longest[i], b - a)
+                    if b - a >= least:
+                        gone[i] |= set(range(a, b))
+    out = {}
+    for i, t in rows:
+        cut = {docs[i][k][0] for k in gone[i]}
+        left = "\n".join(x for n, x in enumerate((t or "").split("\n")) if n not in cut)
+        out[i] = (left, len(cut), sum(k - 1 not in gone[i] for k in gone[i]), 1 << longest[i].bit_length() >> 1)
+    return out
+
+
+def line_rows(awkward):
     rows = [(r["doc_id"], r["text"]) for r in awkward.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).collect()]
-    rows += [(700, "a b c\nd e f\ng h i j\nk l"), (701, "zz\na b c\nd e f\ng h i j\nq"), (702, "a b c\n\nd e f\ng h i j"), (703, "a b c\nd e f"), (704, "k l\n" * 9)]
+    rows += [(700, "a b c\nd e f\ng h i j\nk l"), (701, "zz\na b c\nd e f\ng h i j\nq"), (702, "a b c\n\nd e f\ng h i j"), (703, "a b c\nd e f"), (704, "k l\n" * 9), (705, "x\ny\nx\ny\nx\ny\nx")]
+    rng = random.Random(12)
+    return rows + [(800 + n, "\n".join(rng.choice("pqrst") for _ in range(rng.randrange(12)))) for n in range(25)]
+
+
+@pytest.mark.parametrize("least", [1, 2, 3, 5])
+def test_lines(spark, awkward, least):
+    rows = line_rows(awkward)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r["doc_id"]: r["text"] or "" for r in lines.dedup_lines(df).collect()}
-    assert got == brute_lines(rows, lines.MIN_WORDS)
+    got = {r["doc_id"]: (r["text"] or "", r["__n_removed"], r["__n_runs"], r["__depth"]) for r in lines.dedup_lines(df, least, depth=True).collect()}
+    assert got == brute_lines(rows, least)
+
+
+def test_lines_like_sql(spark, awkward):
+    rows = line_rows(awkward)
+    con = duckdb.connect()
+    con.register("documents", spark.createDataFrame(rows, "doc_id long, text string").toPandas())
+    want = {r[0]: r[1:] for r in con.execute(lines.SQL).fetchall()}
+    assert {i: (w[1], w[2], w[3], w[4]) for i, w in want.items()} == {i: (*b[1:], hashlib.sha256(b[0].encode()).hexdigest()) for i, b in brute_lines(rows).items()}
 
 
 def test_lines_of_awkward_tables(awkward, nothing):
