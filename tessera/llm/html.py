@@ -2,23 +2,31 @@
 
 A page's text nodes are grouped by their root-to-leaf path of block elements. Each path has a
 ratio of text length to nodes and one of punctuation to nodes; their product is smoothed over
-neighbouring nodes in page order and fused over the content container the paths lie in (the
-outermost article or main, else the parent). Containers whose fused score passes a threshold
-between the page's mean and deviation give the content. What elements, roles or class names
-mark as navigation, notice, form, advert or comment has score zero; what they mark as the article
-outweighs the rest.
+neighbouring nodes in page order and weighed by what else is known of the path: the share of
+its text outside links, and its marks (below). Scores are fused over the container that the
+paths lie in, their parent path. The container that is best for its length is the anchor;
+paths of containers that score half of it or more are content, and so are those of
+containers nested in content, unless they are marked otherwise or mostly links.
+
+Marks are weights, not verdicts: `article`, `main` and such roles multiply a score by
+`FAVOUR`; elements, roles and a few class names that stand for navigation, notices, forms,
+adverts or comments by `DISFAVOUR`. What is never shown (scripts, styles, hidden elements)
+is no text node.
 
 Text: character references decoded; white space inside a block becomes one space; blocks are
 trimmed, empty ones left out, the rest joined by one newline. A line break ends a block.
-A null, empty or text-free page has the empty text. Unclosed elements end where their
-parents do, and a page cut short ends there. Repeated rows stay; extra columns are ignored.
+A null, empty or text-free page has the empty text; a null page_id stays null. Unclosed elements
+end where their parents do, and a page cut short ends there. Elements may be nested to any
+depth: paths are numbered, so time and memory grow with the page's length. Repeated rows stay;
+extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import functools
 import re
-from collections import defaultdict
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Collection, Iterator
 from html import unescape
 from typing import NamedTuple
 
@@ -50,9 +58,8 @@ _CHROME = frozenset("nav aside footer form button select textarea input dialog m
 _CONTENT = frozenset("article main".split())
 _CHROME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
 _CHROME_NAMES = frozenset(
-    """ad ads adv advert adverts advertisement advertising adsbygoogle banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs
-    sidebar aside footer header masthead comment comments respond disqus reply replies cookie cookies consent gdpr notice notices notification popup modal overlay
-    subscribe subscription newsletter signup login share sharing social related recommended recommendations widget toolbar pagination pager search alert""".split()
+    """ad ads advert adverts advertisement advertising sponsored nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead
+    comment comments cookie cookies consent notice newsletter subscribe popup""".split()
 )
 _ENDS_P = frozenset(
     """address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav
@@ -69,149 +76,209 @@ _IMPLIED = {
 }
 
 
+#: What marks multiply a score by; the share of the anchor's score that content has; the least share of text outside links of nested content.
+FAVOUR, DISFAVOUR = 64.0, 0.02
+LEAST = 0.5
+UNLINKED = 0.5
+
+
 class Element(NamedTuple):
     name: str
-    path: str
-    chrome: bool
-    container: str
-    favoured: bool
+    path: int
+    weight: float
+    link: bool
+    shown: bool
 
 
 class Node(NamedTuple):
     """A block of text."""
 
-    path: str
-    container: str
-    favoured: bool
-    chrome: bool
+    path: int
     text: str
+    linked: int
+
+
+class Page:
+    """A page's blocks of text in order, and its paths: the parent and the weight of each."""
 
+    def __init__(self, html: str):
+        self.nodes: list[Node] = []
+        self.parents, self.weights = [0], [1.0]
+        self._numbers: dict[tuple[int, str, float], int] = {}
+        self._stack = [Element("", 0, 1.0, False, True)]
+        self._open: Counter[str] = Counter()
+        self._held: list[str] = []
+        self._linked = 0
+        self._read(html)
 
-def blocks(html: str) -> list[Node]:
-    """The page's blocks of text in order, each with its path and container."""
-    stack = [Element("", "", False, "", False)]
-    found: list[Node] = []
-    held: list[str] = []
+    def _path(self, parent: int, name: str, weight: float) -> int:
+        """The number of a path; elements of one name that are marked differently have different paths."""
+        key = (parent, name, weight)
+        if key not in self._numbers:
+            self._numbers[key] = len(self.parents)
+            self.parents.append(parent)
+            self.weights.append(weight)
+        return self._numbers[key]
 
-    def flush() -> None:
-        if held:
-            text = " ".join(unescape("".join(held)).split())
-            held.clear()
+    def _hold(self, text: str) -> None:
+        if text and self._stack[-1].shown:
+            self._held.append(text)
+            if self._stack[-1].link:
+                self._linked += len(text)
+
+    def _flush(self) -> None:
+        if self._held:
+            text = " ".join(unescape("".join(self._held)).split())
             if text:
-                top = stack[-1]
-                found.append(Node(top.path, top.container, top.favoured, top.chrome, text))
+                self.nodes.append(Node(self._stack[-1].path, text, min(self._linked, len(text))))
+            self._held.clear()
+        self._linked = 0
+
+    def _push(self, element: Element) -> None:
+        self._stack.append(element)
+        self._open[element.name] += 1
 
-    def pop_to(names: set[str] | frozenset[str], stop: set[str] | frozenset[str]) -> None:
+    def _pop_to(self, names: Collection[str], stop: Collection[str]) -> None:
         """Close the innermost element of these names, unless one to stop at comes first."""
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in names:
-                del stack[i:]
+        if not any(self._open[x] for x in names):
+            return
+        for i in range(len(self._stack) - 1, 0, -1):
+            if self._stack[i].name in names:
+                for e in self._stack[i:]:
+                    self._open[e.name] -= 1
+                del self._stack[i:]
                 return
-            if stack[i].name in stop:
+            if self._stack[i].name in stop:
                 return
 
-    at, n = 0, len(html)
-    while at < n:
-        m = _MARKUP.search(html, at)
-        if m is None:
-            held.append(html[at:])
-            break
-        if m.start() > at:
-            held.append(html[at : m.start()])
-        at = m.end()
-        if m["cdata"]:
-            held.append(m["cdata"].replace("&", "&amp;"))
-        name = m["name"] or m["name2"]
-        if not name:
-            continue
-        name, closing, attributes = name.lower(), m["close"] or m["close2"], m["attributes"] or m["attributes2"] or ""
-        if closing:
-            if name == "p" and not any(e.name == "p" for e in stack):
-                flush()
-            elif name not in _INLINE:
-                flush()
-                pop_to({name}, frozenset())
-            elif any(e.name == name for e in stack):
-                pop_to({name}, _ENDS_P)
-            continue
-        if name == "br" or name == "hr" or name not in _INLINE:
-            flush()
-        if name in _VOID:
-            continue
-        if name in _ENDS_P:
-            pop_to({"p"}, {"table", "td", "th", "button", "object"})
-        if name in _IMPLIED:
-            pop_to(*_IMPLIED[name])
-        if name in _RAW:
-            close = re.compile(rf"</{name}(?=[\s/>])", re.I).search(html, at)
-            if name not in _HIDDEN and name not in _CHROME:
-                held.append(html[at : close.start() if close else n])
-                flush()
-            end = html.find(">", close.end()) if close else -1
-            at = end + 1 if end >= 0 else n
-            continue
-        top = stack[-1]
-        chrome, favoured = _marks(name, attributes, top)
-        if name in _INLINE:
-            if chrome != top.chrome:
-                flush()
-                stack.append(Element(name, top.path, chrome, top.container, top.favoured))
-            continue
-        path = f"{top.path}/{name}"
-        container = top.container if top.favoured else path if favoured else top.path
-        stack.append(Element(name, path, chrome, container, top.favoured or favoured))
-    flush()
-    return found
-
-
-def _marks(name: str, attributes: str, top: Element) -> tuple[bool, bool]:
-    """Whether an element is outside the content, and whether it is marked as the content."""
-    favoured = name in _CONTENT and not top.chrome
-    chrome = top.chrome or name in _CHROME or name in _HIDDEN or (name == "header" and not top.favoured)
+    def _close(self, name: str) -> None:
+        if name == "p" and not self._open["p"]:
+            self._flush()
+        elif name not in _INLINE:
+            self._flush()
+            self._pop_to({name}, ())
+        else:
+            self._pop_to({name}, _ENDS_P)
+
+    def _read(self, html: str) -> None:
+        at, n = 0, len(html)
+        while at < n:
+            m = _MARKUP.search(html, at)
+            if m is None:
+                self._hold(html[at:])
+                break
+            self._hold(html[at : m.start()])
+            at = m.end()
+            if m["cdata"]:
+                self._hold(m["cdata"].replace("&", "&amp;"))
+            name = m["name"] or m["name2"]
+            if not name:
+                continue
+            name = name.lower()
+            if m["close"] or m["close2"]:
+                self._close(name)
+                continue
+            if name == "br" or name not in _INLINE:
+                self._flush()
+            if name in _VOID:
+                continue
+            if name in _ENDS_P:
+                self._pop_to({"p"}, {"table", "td", "th", "button", "object"})
+            if name in _IMPLIED:
+                self._pop_to(*_IMPLIED[name])
+            top = self._stack[-1]
+            weight, shown = _marks(name, m["attributes"] or m["attributes2"] or "", top)
+            if name in _RAW:
+                # Their content is no markup, and none of them holds the text of an article.
+                close = _raw_end(name).search(html, at)
+                end = html.find(">", close.end()) if close else -1
+                at = end + 1 if end >= 0 else n
+            elif name in _INLINE:
+                if weight != top.weight or shown != top.shown:
+                    self._flush()
+                path = top.path if weight == top.weight else self._path(top.path, name, weight)
+                self._push(Element(name, path, weight, top.link or name == "a", shown))
+            else:
+                self._push(Element(name, self._path(top.path, name, weight), weight, top.link, shown))
+        self._flush()
+
+
+@functools.cache
+def _raw_end(name: str) -> re.Pattern[str]:
+    return re.compile(rf"</{name}(?=[\s/>])", re.I)
+
+
+def _marks(name: str, attributes: str, top: Element) -> tuple[float, bool]:
+    """An element's weight, and whether it is shown. Marks add to the parent's, each kind once."""
+    shown = top.shown and name not in _HIDDEN
+    favoured, other = top.weight == FAVOUR, top.weight < 1
+    content = name in _CONTENT
+    # A header inside the article is the article's own.
+    chrome = name in _CHROME or (name == "header" and not favoured)
     if attributes and not attributes.isspace():
         values = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
         role = values.get("role", "").lower()
-        favoured |= role in ("main", "article") and not chrome
+        content |= role in ("main", "article")
+        chrome |= role in _CHROME_ROLES
         if "hidden" in values or values.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", values.get("style", "")):
-            chrome = True
+            shown = False
         if name not in ("html", "body", "article", "main"):
-            words = _TOKEN.findall(f"{values.get('class', '')} {values.get('id', '')}".lower())
-            names = _CHROME_NAMES - {"header", "banner", "alert"} if top.favoured and name in ("h1", "h2", "h3", "header") else _CHROME_NAMES
-            chrome |= role in _CHROME_ROLES or not names.isdisjoint(words)
-    return chrome, favoured and not chrome
+            chrome |= not _CHROME_NAMES.isdisjoint(_TOKEN.findall(f"{values.get('class', '')} {values.get('id', '')}".lower()))
+    if other or chrome:
+        return DISFAVOUR, shown
+    return (FAVOUR if favoured or content else 1.0), shown
 
 
-def select(nodes: list[Node]) -> list[str]:
-    """Texts of the content nodes."""
-    live = [x for x in nodes if not x.chrome]
-    if not live:
-        return []
+def path_ratios(nodes: list[Node]) -> dict[int, float]:
+    """Of each path: text length a node, times one more than its punctuation a node."""
     text, punctuation, count = defaultdict(int), defaultdict(int), defaultdict(int)
-    for x in live:
+    for x in nodes:
         text[x.path] += len(x.text)
         punctuation[x.path] += len(_PUNCTUATION.findall(x.text))
         count[x.path] += 1
-    ratio = {p: text[p] / count[p] * (1 + punctuation[p] / count[p]) for p in text}
-    raw = np.array([ratio[x.path] for x in live])
-    kernel = np.array([0.054, 0.242, 0.408, 0.242, 0.054])
-    padded = np.pad(raw, 2, mode="edge")
-    smooth = np.convolve(padded, kernel, mode="valid")
-    fused, length = defaultdict(float), defaultdict(int)
-    for x, score in zip(live, smooth, strict=True):
-        fused[x.container] += score * len(x.text)
-        length[x.container] += len(x.text)
-    marked = {x.container for x in live if x.favoured}
-    score = {c: fused[c] / length[c] * np.sqrt(length[c]) for c in fused}
-    if marked:
-        chosen = marked
-    else:
-        values = np.array(list(score.values()))
-        chosen = {c for c, v in score.items() if v >= max(values.max() / 4, values.mean() - values.std())}
-    return [x.text for x in live if x.container in chosen]
+    return {p: text[p] / count[p] * (1 + punctuation[p] / count[p]) for p in text}
+
+
+KERNEL = np.array([0.054, 0.242, 0.408, 0.242, 0.054])
+
+
+def select(page: Page) -> list[str]:
+    """Texts of the content nodes."""
+    nodes = page.nodes
+    if not nodes:
+        return []
+    ratios = path_ratios(nodes)
+    smooth = np.convolve(np.pad([ratios[x.path] for x in nodes], 2, mode="edge"), KERNEL, mode="valid")
+    length, linked, fused = defaultdict(int), defaultdict(int), defaultdict(float)
+    for x in nodes:
+        linked[x.path] += x.linked
+        length[x.path] += len(x.text)
+    unlinked = {p: 1 - linked[p] / length[p] for p in length}
+    # A container is a parent path under one weight: marked paths don't speak for their neighbours.
+    container = {p: (page.parents[p], page.weights[p]) for p in ratios}
+    size, loose = defaultdict(int), defaultdict(float)
+    for x, score in zip(nodes, smooth, strict=True):
+        c, n = container[x.path], len(x.text)
+        fused[c] += score * n * page.weights[x.path] * (0.1 + 0.9 * unlinked[x.path])
+        loose[c] += n * unlinked[x.path]
+        size[c] += n
+    score = {c: fused[c] / size[c] for c in fused}
+    anchor = max(score, key=lambda c: (score[c] * size[c] ** 0.5, -c[0], c[1]))
+    chosen = {c for c, v in score.items() if v >= LEAST * score[anchor]}
+    # Content reaches down the paths; a parent's number is less than its children's.
+    within: list[float | None] = [None] * len(page.parents)
+    for p in range(len(page.parents)):
+        weight = page.weights[p]
+        above = within[page.parents[p]] if p else None
+        within[p] = weight if (p, weight) in chosen else above if above is not None and weight >= above else None
+    for c in score:
+        if within[c[0]] is not None and c[1] >= within[c[0]] and loose[c] >= UNLINKED * size[c]:
+            chosen.add(c)
+    return [x.text for x in nodes if container[x.path] in chosen]
 
 
 def main_text(html: str | None) -> str:
-    return "\n".join(select(blocks(html))) if html else ""
+    return "\n".join(select(Page(html))) if html else ""
 
 
 def extract(pages: DataFrame) -> DataFrame:

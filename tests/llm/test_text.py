@@ -1,6 +1,9 @@
 import hashlib
 import itertools
+import re
+import time
 import zlib
+from html import unescape
 
 import duckdb
 import numpy as np
@@ -47,6 +50,57 @@ def test_pages(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+UNMARKED = (
+    "<body><div><a href=1>Home</a> <a href=2>News</a></div><div><div><h1>Title of it</h1><p>A first paragraph, with some text in it. And more of it, to be read.</p>"
+    "<ul><li>one<li>two, short<li>a <a href=x>link</a> in it</ul><blockquote><p>Quoted.</p></blockquote><table><tr><td>1<td>2</table>"
+    "<section><p>Nested, in a section.</p></section><p>The last paragraph, which is also long, has commas, and ends.</p></div></div>"
+    "<div><span>About</span></div><div class='cookies'><p>We use them, and more of them, for you. Do you agree, or do you, perhaps, agree?</p></div></body>"
+)
+
+
+def test_pages_without_marked_content():
+    want = (
+        "Title of it\nA first paragraph, with some text in it. And more of it, to be read.\none\ntwo, short\na link in it\nQuoted.\n1\n2\nNested, in a section.\n"
+        "The last paragraph, which is also long, has commas, and ends."
+    )
+    assert html.main_text(UNMARKED) == want
+    # A long notice does not outweigh a marked article, nor do comments in it stay.
+    notice = "<div><p>" + "We store, keep, and use, all of it. " * 20 + "</p></div>"
+    assert html.main_text(f"{notice}<article><p>Short one.</p><p>And two, of it.</p><div class='comments'><p>{'No, no, never. ' * 9}</p></div></article>") == "Short one.\nAnd two, of it."
+
+
+def brute_ratios(page):
+    """Path ratios of well-formed markup without attributes, by a stack of names."""
+    stack, texts = [], {}
+    for name, text in re.findall(r"<([^>]*)>([^<]*)", page):
+        stack = stack[:-1] if name.startswith("/") else [*stack, name]
+        if text.strip():
+            texts.setdefault("/".join(stack), []).append(text.strip())
+    return sorted(sum(map(len, x)) / len(x) * (1 + sum(c in ".,;:!?" for t in x for c in t) / len(x)) for x in texts.values())
+
+
+def test_path_ratios():
+    page = "<body><div><h1>T</h1><p>One, two.</p><p>Three; four, five!</p><ul><li>a</li><li>b, c</li></ul></div><div><p>Other</p></div><section><p>x: y</p></section></body>"
+    np.testing.assert_allclose(sorted(html.path_ratios(html.Page(page).nodes).values()), brute_ratios(page))
+
+
+@pytest.mark.parametrize("marked", [True, False])
+def test_articles_of_the_test_pages(spark, marked):
+    """Every page's article, cut out by its tags, with and without them in what is read."""
+    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
+        article = re.search(r"<article>(.*?)(?:</article>|$)", r["html"], re.S)[1]
+        parts = [" ".join(unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1|br)>", article)]
+        page = r["html"] if marked else re.sub(r"<(/?)article", r"<\1div", r["html"])
+        assert html.main_text(page) == "\n".join(x for x in parts if x)
+
+
+def test_pages_nested_deeply():
+    began = time.perf_counter()
+    assert html.main_text("<div>" * 100_000 + "<p>deep, text.") == "deep, text."
+    assert html.main_text("<p><span>" * 30_000 + "x") == "x"
+    assert time.perf_counter() - began < 20
+
+
 def words_in(text):
     return len((text or "").encode().split())
 
