@@ -1,23 +1,40 @@
 """Licence scans: normalised text against licence templates by Dice's coefficient over word bigrams.
 
-A document is read as units: the whole text, its blocks between blank lines, and its lines.
-Normalising maps A-Z to lower case and everything but a-z, 0-9 and line ends to spaces. A unit
-with a distinct bigrams can reach the coefficient t against a template with b only if
-b * t / (2 - t) <= a <= b * (2 - t) / t; other templates are not compared. A unit of one word
-has that word for its only bigram. Every unit is compared, whole.
+Normalising maps A-Z to lower case and everything but a-z, 0-9 and line ends to spaces; lines
+without words are blank. A document is read as units, ranges of its lines that are not blank:
+the whole text, its blocks between blank lines, its lines, and for each template the runs of
+lines that speak for it (half of their bigrams or more are the template's), over gaps of up
+to `GAP` other lines. So a licence is found wherever it stands in a longer text, wrapped or in
+several paragraphs. A unit's bigrams go on from line to line; a unit of one word has that word
+for its only bigram.
+
+A unit with a distinct bigrams can reach the coefficient t against a template with b only if
+b * t / (2 - t) <= a <= b * (2 - t) / t, and shares b * t / (2 - t) of them at least. So
+templates are compared with a document only if its text holds that many of their bigrams, and no
+document is split into bigrams unless it holds one of a few words that such a share must touch.
+Both bounds are exact: every document is read whole.
+
+Templates are the notices and short licences below and the whole texts in the folder
+`templates`. Licences of nearly one wording (the AGPL and the GPL) match one another.
 
 Rows: null and empty texts, and texts without a letter or digit, match nothing. Equal
-coefficients go to the template first in name. Repeated rows stay; extra columns are ignored.
+coefficients go to the template first in name. Repeated rows stay, null doc_ids too; extra
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from math import ceil
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import table, written
 
 DICE = 0.8
+GAP = 2
 
 # The wording of licences and of the notices that refer to them.
 TEMPLATES = {
@@ -30,6 +47,30 @@ TEMPLATES = {
     ),
     "BSD-2-Clause notice": "Licensed under the BSD 2-Clause License.",
     "BSD-3-Clause notice": "Licensed under the BSD 3-Clause License.",
+    "BSD-2-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+        "and/or other materials provided with the distribution. "
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE "
+        "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE "
+        "LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+        "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT "
+        "LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+        "and/or other materials provided with the distribution. "
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+        "without specific prior written permission. "
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE "
+        "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE "
+        "LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+        "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT "
+        "LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
     "CC-BY-4.0 notice": "Licensed under CC BY 4.0.",
     "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0 notice": "Licensed under CC BY-SA 4.0.",
@@ -71,9 +112,19 @@ TEMPLATES = {
     ),
 }
 
+# Common words, which say little about a licence.
+COMMON = frozenset(
+    "a all an and any are as at be by for from has have if in into is it its may must no not of on or other shall such that the their this to under was which will with without you your".split()
+)
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def all_templates() -> dict[str, str]:
+    """The templates above and the whole texts in the folder."""
+    return TEMPLATES | {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "templates").glob("*.txt"))}
+
+
 def words_of(text: str) -> list[str]:
     low = text.translate(str.maketrans(_UPPER, _LOWER))
     return "".join(c if c in _LOWER + "0123456789" else " " for c in low).split()
@@ -84,69 +135,132 @@ def bigrams_of(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)} if len(words) > 1 else set(words))
 
 
-def _bigrams(unit: Column) -> Column:
-    """Distinct bigrams of a normalised unit."""
-    words = F.filter(F.split(unit, "[ \n]+"), lambda w: w != "")
-    return F.transform(
-        F.array(words),
-        lambda ws: F.array_distinct(F.when(F.size(ws) < 2, ws).otherwise(F.transform(F.slice(ws, 1, F.greatest(F.size(ws) - 1, F.lit(0))), lambda w, i: F.concat(w, F.lit(" "), F.get(ws, i + 1))))),
-    )[0]
+def needed(n: int, dice: float) -> int:
+    """How many of a template's n bigrams a unit has at least."""
+    return ceil(n * dice / (2 - dice) - 1e-9)
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, dice: float = DICE) -> DataFrame:
-    """doc_id, n_units that match, licences (names of all matches), best and best_dice."""
-    templates = TEMPLATES if templates is None else templates
-    held = sorted((name, bigrams_of(text)) for name, text in templates.items())
-    least = min((len(b) for _, b in held), default=1) * dice / (2 - dice)
-    most = max((len(b) for _, b in held), default=1) * (2 - dice) / dice
+def telling_words(grams: list[str], dice: float) -> set[str]:
+    """Words of which a unit that matches has at least one: together they touch more bigrams than it may lack."""
+    lacking, left, chosen = len(grams) - needed(len(grams), dice), [set(g.split()) for g in grams], set()
+    while len(grams) - len(left) <= lacking:
+        often = Counter(w for g in left for w in g)
+        best = min(often, key=lambda w: (w in COMMON, -often[w], w))
+        chosen.add(best)
+        left = [g for g in left if best not in g]
+    return chosen
+
+
+def _bigrams(words: Column) -> Column:
+    """Distinct bigrams of an array of words."""
+    return F.array_distinct(F.when(F.size(words) < 2, words).otherwise(F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat(w, F.lit(" "), F.get(words, i + 1)))))
+
+
+def _with(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def candidates(docs: DataFrame, held: dict[str, list[str]], dice: float) -> DataFrame:
+    """__key, __hash, __lines of each document and the name, grams of each template of which it has enough bigrams."""
+    spark = docs.sparkSession
+    telling = sorted(set().union(*(telling_words(g, dice) for g in held.values())))
     text = F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), _UPPER, _LOWER), "[^a-z0-9\n]+", " ")
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    units = F.array_distinct(F.transform(F.concat(F.array("text"), F.split("text", "\n *(?:\n *)+"), F.split("text", "\n")), lambda x: F.trim(F.translate(x, "\n", " "))))
-    # A unit of n words has n - 1 bigrams at most (1 if n is 1): too few of them rule it out before it is split.
-    spaces = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
-    split = plain.select("doc_id", F.filter(units, lambda x: (F.length(x) > 0) & (F.greatest(spaces(x), F.lit(1)) >= least)).alias("units"))
-    sets = split.select("doc_id", F.filter(F.transform("units", _bigrams), lambda b: F.size(b).between(least, most)).alias("sets"))
-
-    def coefficient(b: Column, grams: list[str]) -> Column:
-        n = len(grams)
-        fits = F.size(b).between(n * dice / (2 - dice), n * (2 - dice) / dice)
-        shared = F.size(F.array_intersect(b, F.array(*[F.lit(g) for g in grams])))
-        return F.when(fits, 2.0 * shared / (F.size(b) + n)).otherwise(F.lit(0.0))
-
-    per_unit = F.transform("sets", lambda b: F.array(*[F.struct(coefficient(b, grams).alias("d"), F.lit(name).alias("name")) for name, grams in held]))
-    hits = F.transform(per_unit, lambda xs: F.filter(xs, lambda x: x["d"] >= dice))
-    matched = sets.select("doc_id", F.filter(hits, lambda xs: F.size(xs) > 0).alias("hits"))
-    flat = matched.select("doc_id", F.size("hits").cast("long").alias("n_units"), F.flatten("hits").alias("all"))
-    top = F.array_max(F.transform("all", lambda x: x["d"]))
-    return flat.select(
-        "doc_id",
-        "n_units",
-        F.array_join(F.sort_array(F.array_distinct(F.transform("all", lambda x: x["name"]))), ",").alias("licences"),
-        F.array_min(F.transform(F.filter("all", lambda x: x["d"] == top), lambda x: x["name"])).alias("best"),
-        top.alias("best_dice"),
+    plain = docs.select(F.col("doc_id").cast("long").alias("__key"), F.xxhash64("text").alias("__hash"), text.alias("text"))
+    spoken = plain.filter(F.arrays_overlap(F.split(F.translate("text", "\n", " "), " "), F.array(*[F.lit(w) for w in telling])))
+    lines = F.filter(
+        F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), F.filter(F.split(x, " "), lambda w: w != "").alias("words"))), lambda x: F.size(x["words"]) > 0
+    )
+    spoken = written(spoken.select("__key", "__hash", lines.alias("__lines")).dropDuplicates(["__key", "__hash"]), "licence-texts")
+    grams = spoken.select("__key", "__hash", F.explode(_with(F.flatten(F.transform("__lines", lambda x: x["words"])), _bigrams)).alias("gram"))
+    # The templates' bigrams are a fixed list, some thousands.
+    known = spark.createDataFrame([(name, g, len(gs)) for name, gs in held.items() for g in gs], "name string, gram string, n int")
+    least = spark.createDataFrame([(name, gs, needed(len(gs), dice)) for name, gs in held.items()], "name string, grams array<string>, least int")
+    shared = grams.join(F.broadcast(known), "gram").groupBy("__key", "__hash", "name").agg(F.count(F.lit(1)).alias("shared"))
+    enough = shared.join(F.broadcast(least), "name").filter("shared >= least").select(F.col("__key").alias("k"), F.col("__hash").alias("h"), "name", "grams")
+    return spoken.join(enough, spoken["__key"].eqNullSafe(F.col("k")) & (spoken["__hash"] == F.col("h"))).drop("k", "h")
+
+
+def _speaking(lines: Column, grams: Column) -> Column:
+    """Numbers of the lines of whose bigrams, the one to the next line included, the template has half."""
+
+    def own(x: Column, j: Column) -> Column:
+        after = F.get(lines, j + 1)["words"]
+        return _bigrams(F.concat(x["words"], F.when(after.isNull(), F.array().cast("array<string>")).otherwise(F.slice(after, 1, 1))))
+
+    says = F.transform(lines, lambda x, j: F.when(_with(own(x, j), lambda g: 2 * F.size(F.array_intersect(g, grams)) >= F.size(g)), j))
+    return F.filter(says, lambda j: j.isNotNull())
+
+
+def _ranges(numbers: Column, reach: Column | int) -> Column:
+    """first, last of the runs of ascending numbers that lie `reach` apart at most."""
+    first = F.filter(F.transform(numbers, lambda x, j: F.when((j == 0) | (x - F.get(numbers, j - 1) > reach), x)), lambda x: x.isNotNull())
+    last = F.filter(F.transform(numbers, lambda x, j: F.when((j == F.size(numbers) - 1) | (F.get(numbers, j + 1) - x > reach), x)), lambda x: x.isNotNull())
+    return F.transform(first, lambda a, k: F.struct(a.alias("a"), F.get(last, k).alias("b")))
+
+
+def _units(lines: Column, grams: Column) -> Column:
+    """The ranges of lines to compare with a template."""
+    size = F.size(lines)
+    whole = F.array(F.struct(F.lit(0).alias("a"), (size - 1).alias("b")))
+    single = F.transform(lines, lambda _, j: F.struct(j.alias("a"), j.alias("b")))
+    # A block's lines follow one another in the text; what their numbers are among those not blank is the difference.
+    starts = F.filter(F.transform(lines, lambda x, j: F.when((j == 0) | (x["i"] != F.get(lines, j - 1)["i"] + 1), j)), lambda j: j.isNotNull())
+    blocks = F.transform(starts, lambda a, k: F.struct(a.alias("a"), F.coalesce(F.get(starts, k + 1) - 1, size - 1).alias("b")))
+    return F.array_distinct(F.concat(whole, blocks, single, _with(_speaking(lines, grams), lambda p: _ranges(p, GAP + 1))))
+
+
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, dice: float = DICE) -> DataFrame:
+    """doc_id, n_licences, licences (names of all that match), best and best_dice."""
+    templates = all_templates() if templates is None else templates
+    held = {name: grams for name, grams in sorted((name, bigrams_of(text)) for name, text in templates.items()) if grams}
+    found = candidates(docs, held, dice)
+    lines, grams = F.col("__lines"), F.col("grams")
+    least = F.size(grams) * F.lit(dice / (2 - dice)) - 1e-9
+    words = F.transform(F.col("units"), lambda u: F.flatten(F.transform(F.slice(lines, u["a"] + 1, u["b"] - u["a"] + 1), lambda x: x["words"])))
+    coefficient = F.transform(F.filter(words, lambda w: F.greatest(F.size(w) - 1, F.lit(1)) >= least), lambda w: _with(_bigrams(w), lambda g: 2.0 * F.size(F.array_intersect(g, grams)) / (F.size(g) + F.size(grams))))
+    best = found.withColumn("units", _units(lines, grams)).select("__key", "__hash", "name", F.array_max(coefficient).alias("d")).filter(F.col("d") >= dice)
+    per = best.groupBy("__key", "__hash").agg(
+        F.count(F.lit(1)).alias("n_licences"),
+        F.array_join(F.sort_array(F.collect_list("name")), ",").alias("licences"),
+        F.min(F.struct((-F.col("d")).alias("d"), "name")).alias("first"),
     )
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"))
+    joined = rows.join(per, rows["doc_id"].eqNullSafe(per["__key"]) & (rows["h"] == per["__hash"]), "left")
+    return joined.select("doc_id", F.coalesce("n_licences", F.lit(0)).cast("long").alias("n_licences"), F.coalesce("licences", F.lit("")).alias("licences"), F.col("first.name").alias("best"), (-F.col("first.d")).alias("best_dice"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
-def _sql() -> str:
-    rows = ", ".join(f"('{name}', {bigrams_of(text)!r})" for name, text in sorted(TEMPLATES.items()))
+def sql(templates: dict[str, str], dice: float = DICE) -> str:
+    rows = ", ".join(f"('{name}', {bigrams_of(text)!r})" for name, text in sorted(templates.items()))
     return rf"""
-WITH t AS (SELECT * FROM (VALUES {rows}) AS v(name, grams)),
-p AS (SELECT doc_id, regexp_replace(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^a-z0-9\n]+', ' ', 'g') AS text FROM documents),
-u AS (SELECT DISTINCT doc_id, trim(replace(unit, chr(10), ' ')) AS unit FROM (
-  SELECT doc_id, unnest(list_concat([text], regexp_split_to_array(text, '\n *(?:\n *)+'), string_split(text, chr(10)))) AS unit FROM p)),
-w AS (SELECT doc_id, unit, list_filter(regexp_split_to_array(unit, ' +'), lambda x: x <> '') AS words FROM u WHERE unit <> ''),
-b AS (SELECT doc_id, unit, CASE WHEN len(words) < 2 THEN words
-        ELSE list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) END AS grams FROM w),
-d AS (SELECT b.doc_id, b.unit, t.name, 2.0 * len(list_intersect(b.grams, t.grams))::DOUBLE / (len(b.grams) + len(t.grams)) AS d
-      FROM b JOIN t ON len(b.grams) BETWEEN len(t.grams) * {DICE} / (2 - {DICE}) AND len(t.grams) * (2 - {DICE}) / {DICE}),
-m AS (SELECT * FROM d WHERE d >= {DICE}),
-a AS (SELECT doc_id, count(DISTINCT unit) AS n_units, string_agg(DISTINCT name, ',' ORDER BY name) AS licences, arg_min(name, (-d, name)) AS best, max(d) AS best_dice FROM m GROUP BY doc_id)
-SELECT doc_id, coalesce(n_units, 0) AS n_units, coalesce(licences, '') AS licences, best, best_dice FROM documents LEFT JOIN a USING (doc_id)
+WITH t AS MATERIALIZED (SELECT * FROM (VALUES {rows}) AS v(name, grams)),
+tg AS (SELECT name, len(grams) AS size, unnest(grams) AS gram FROM t),
+p AS (SELECT DISTINCT doc_id, regexp_replace(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^a-z0-9\n]+', ' ', 'g') AS text FROM documents),
+l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM p),
+l1 AS MATERIALIZED (SELECT doc_id, i, list_filter(string_split(line, ' '), lambda x: x <> '') AS words, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS j FROM l0 WHERE trim(line) <> ''),
+ls AS MATERIALIZED (SELECT doc_id, list(words ORDER BY j) AS lines FROM l1 GROUP BY doc_id),
+w0 AS (SELECT doc_id, j, unnest(words) AS word, generate_subscripts(words, 1) AS k FROM l1),
+w AS (SELECT doc_id, j, word, lead(word) OVER (PARTITION BY doc_id ORDER BY j, k) AS after, count(*) OVER (PARTITION BY doc_id) AS n FROM w0),
+g AS MATERIALIZED (SELECT DISTINCT doc_id, j, CASE WHEN n = 1 THEN word ELSE word || ' ' || after END AS gram FROM w WHERE n = 1 OR after IS NOT NULL),
+m AS MATERIALIZED (SELECT doc_id, j, gram, name, size FROM g JOIN tg USING (gram)),
+c AS MATERIALIZED (SELECT doc_id, name FROM m GROUP BY doc_id, name HAVING count(DISTINCT gram) >= any_value(size) * {dice} / (2 - {dice}) - 1e-9),
+sp AS (SELECT s.doc_id, s.name, s.j FROM (SELECT doc_id, j, name, count(*) AS shared FROM m GROUP BY ALL) s JOIN (SELECT doc_id, j, count(*) AS n FROM g GROUP BY ALL) USING (doc_id, j) WHERE 2 * shared >= n),
+r0 AS (SELECT *, coalesce(j - lag(j) OVER (PARTITION BY doc_id, name ORDER BY j) > {GAP + 1}, TRUE) AS new FROM sp),
+r1 AS (SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY doc_id, name ORDER BY j) AS run FROM r0),
+u AS (SELECT doc_id, name, min(j) AS a, max(j) AS b FROM r1 GROUP BY doc_id, name, run
+      UNION SELECT d.doc_id, c.name, d.a, d.b FROM c JOIN (
+        SELECT doc_id, min(j) AS a, max(j) AS b FROM l1 GROUP BY doc_id UNION SELECT doc_id, min(j), max(j) FROM l1 GROUP BY doc_id, i - j UNION SELECT doc_id, j, j FROM l1) d USING (doc_id)),
+f AS (SELECT u.doc_id, u.name, t.grams, flatten(list_slice(ls.lines, u.a, u.b)) AS words FROM u JOIN c USING (doc_id, name) JOIN ls USING (doc_id) JOIN t USING (name)),
+b AS (SELECT doc_id, name, grams, CASE WHEN len(words) < 2 THEN words ELSE list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) END AS own
+      FROM f WHERE greatest(len(words) - 1, 1) >= len(grams) * {dice} / (2 - {dice}) - 1e-9),
+d AS (SELECT doc_id, name, max(2.0 * len(list_intersect(own, grams))::DOUBLE / (len(own) + len(grams))) AS d FROM b GROUP BY doc_id, name),
+a AS (SELECT doc_id, count(*) AS n_licences, string_agg(name, ',' ORDER BY name) AS licences, arg_min(name, (-d, name)) AS best, max(d) AS best_dice FROM d WHERE d >= {dice} GROUP BY doc_id)
+SELECT doc_id, coalesce(n_licences, 0) AS n_licences, coalesce(licences, '') AS licences, best, best_dice FROM documents LEFT JOIN a USING (doc_id)
 """
 
 
-SQL = _sql()
+SQL = sql(all_templates())

@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import re
+import textwrap
 import time
 import zlib
 from html import unescape
@@ -194,35 +195,67 @@ def test_likeness():
     assert (fingerprints.likeness(none, none), fingerprints.likeness(none, a)) == (1.0, 0.0)
 
 
-def brute_licences(text, dice):
+def brute_licences(text, templates, dice):
     low = "".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789\n" else " " for c in (text or "").translate(str.maketrans(licences._UPPER, licences._LOWER)))
-    blocks = ["\n".join(g) for blank, g in itertools.groupby(low.split("\n"), lambda x: not x.strip()) if not blank]
-    units = {" ".join(u.split()) for u in [low, *blocks, *low.split("\n")]} - {""}
-    hits = {}
-    for name, template in licences.TEMPLATES.items():
-        b = set(licences.bigrams_of(template))
-        for u in units:
-            a = set(licences.bigrams_of(u))
-            d = 2 * len(a & b) / (len(a) + len(b))
-            if d >= dice:
-                hits.setdefault(u, []).append((-d, name))
-    every = [x for h in hits.values() for x in h]
-    return len(hits), ",".join(sorted({n for _, n in every})), min(every)[1] if every else None, -min(every)[0] if every else None
+    lines = [(i, x.split()) for i, x in enumerate(low.split("\n")) if x.split()]
+    blocks = [[k for _, k in g] for _, g in itertools.groupby(((i - k, k) for k, (i, _) in enumerate(lines)), lambda x: x[0])]
+
+    def grams(a, b):
+        words = [w for _, x in lines[a : b + 1] for w in x]
+        return {" ".join(x) for x in itertools.pairwise(words)} if len(words) > 1 else set(words)
+
+    hits = []
+    for name, template in templates.items():
+        want = set(licences.bigrams_of(template))
+        says = []
+        for k, (_, words) in enumerate(lines):
+            own = {" ".join(x) for x in itertools.pairwise(words + (lines[k + 1][1][:1] if k + 1 < len(lines) else []))}
+            if own and 2 * len(own & want) >= len(own):
+                says.append(k)
+        runs = []
+        for k in says:
+            if runs and k - runs[-1][1] <= licences.GAP + 1:
+                runs[-1][1] = k
+            else:
+                runs.append([k, k])
+        units = [(0, len(lines) - 1)] * bool(lines) + [(x[0], x[-1]) for x in blocks] + [(k, k) for k in range(len(lines))] + runs
+        found = [2 * len(grams(a, b) & want) / (len(grams(a, b)) + len(want)) for a, b in units]
+        if found and max(found) >= dice:
+            hits.append((-max(found), name))
+    return len(hits), ",".join(sorted(n for _, n in hits)), min(hits)[1] if hits else None, -min(hits)[0] if hits else None
 
 
 def test_licences(spark, awkward, nothing):
-    mit = licences.TEMPLATES["MIT"]
+    every = licences.all_templates()
+    mit, bsd = licences.TEMPLATES["MIT"], licences.TEMPLATES["BSD-3-Clause"]
+    three = mit.replace(": The above", ":\n\nThe above").replace("Software. THE", "Software.\n\nTHE")
+    wrapped = "\n".join(textwrap.wrap(bsd, 60))
     rows = [(r["doc_id"], r["text"]) for r in awkward.collect()]
     rows += [(900, "Intro words.\n\n" + mit.replace(". ", ".\n") + "\n\nMore."), (901, mit.replace("sublicense", "relicense")), (902, "MIT"), (903, "Licensed under CC BY 4.0.\nLICENSED UNDER CC BY-NC 4.0")]
-    rows += [(910 + i, t) for i, t in enumerate(licences.TEMPLATES.values())]
+    rows += [(904, "A long text before it, of no use.\n" * 30 + f"\nCopyright (c) me\n\n{three}\n\n" + "int main() { return 0; }\n" * 40), (905, f"words\n{wrapped}\nmore words and more of them\n" * 2)]
+    rows += [(906, "something before\n\n" + every["GPL-3.0"] + "\nafter"), (907, every["Apache-2.0"].replace("\n", "\r\n")), (None, mit)]
+    rows += [(910 + i, t) for i, t in enumerate(every.values())]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r["doc_id"] if r["doc_id"] is not None else -1, *r[1:]) for r in licences.scan(df).collect()), key=str)
-    want = sorted(((i if i is not None else -1, *brute_licences(t, licences.DICE)) for i, t in rows), key=str)
+    want = sorted(((i if i is not None else -1, *brute_licences(t, every, licences.DICE)) for i, t in rows), key=str)
     assert [x[:4] for x in got] == [x[:4] for x in want]
     np.testing.assert_allclose([x[4] or 0 for x in got], [x[4] or 0 for x in want])
+    best = {r[0]: r[3] for r in got}
+    assert (best[904], best[905], best[906], best[907], best[-1]) == ("MIT", "BSD-3-Clause", "GPL-3.0", "Apache-2.0", "MIT")
     assert licences.scan(nothing).count() == 0 and licences.scan(awkward).count() == awkward.count()
 
 
+def test_telling_words_are_in_all_that_match():
+    import random
+
+    rng = random.Random(1)
+    for text in licences.all_templates().values():
+        grams = licences.bigrams_of(text)
+        need, telling = licences.needed(len(grams), 0.8), licences.telling_words(grams, 0.8)
+        for _ in range(20):
+            assert telling & {w for g in rng.sample(grams, need) for w in g.split()}
+
+
 def test_kneser_ney_sums_to_one():
     words = ["abc", "abd", "xyz", "ab", "zzz", "abcab"]
     model = toxicity.train(words, np.array([[5, 0], [3, 1], [2, 0], [7, 2], [0, 4], [1, 1]], float))
