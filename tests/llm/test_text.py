@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import itertools
 import re
@@ -10,7 +11,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from tessera.llm import fingerprints, html, licences, mixing, toxicity
+from tessera.llm import common, fingerprints, html, licences, mixing, toxicity
 from tests.llm.conftest import awkward_rows
 
 PAGE = (
@@ -166,6 +167,33 @@ def test_syncmers():
     assert moved and all(a - b == 7 for a, b in moved)
 
 
+def brute_mix(x):
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+    x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+    return x ^ x >> 31
+
+
+def brute_hash(text):
+    return sum((ord(c) + 1) * pow(common.BASE, i, 2**64) for i, c in enumerate(text)) % 2**64
+
+
+@functools.cache
+def brute_fingerprint(text, k=fingerprints.K, s=fingerprints.S):
+    """The lowest anchor hashes by plain integers, and all of them."""
+    inner = [brute_mix(brute_hash(text[i : i + s])) for i in range(len(text) - s + 1)]
+    found = {text[i : i + k] for i in range(len(text) - k + 1) if min(inner[i : i + k - s + 1]) in (inner[i], inner[i + k - s])} or ({text} if text else set())
+    every = sorted({brute_mix(brute_hash(x) ^ 0x5851F42D4C957F2D) >> 24 for x in found})
+    return every[: max(fingerprints.SIZE, -(-len(every) // fingerprints.SHARE))], every
+
+
+def brute_likeness(a, b):
+    if not a[0] or not b[0]:
+        return float(len(a[0]) == len(b[0]))
+    bound = min(x[0][-1] if x[0] != x[1] else 2**64 for x in (a, b))
+    x, y = ({h for h in c[1] if h <= bound} for c in (a, b))
+    return len(x & y) / len(x | y)
+
+
 def test_fingerprints_in_order(spark, awkward, nothing):
     rows = [(r["doc_id"], r["text"] or "") for r in awkward.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).collect()]
     rows.sort(reverse=True)
@@ -175,24 +203,35 @@ def test_fingerprints_in_order(spark, awkward, nothing):
         assert len(got) == len(rows)
         for (i, t), (_, after) in zip(rows, rows[1:] + rows[:1], strict=True):
             changed = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
-            a, b, c = fingerprints.fingerprints([t, changed, after])
+            a, b, c = (brute_fingerprint(x) for x in (t, changed, after))
             r = got[i]
             assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(changed.encode()).hexdigest())
-            assert (r["fingerprint"], r["edited_fingerprint"]) == (fingerprints.hexed(a), fingerprints.hexed(b))
-            assert (r["near_edited"], r["near_next"]) == (fingerprints.likeness(a, b), fingerprints.likeness(a, c))
+            assert (r["fingerprint"], r["edited_fingerprint"]) == tuple("".join(f"{h:010x}" for h in x[0]) for x in (a, b))
+            assert r["near_edited"] == pytest.approx(brute_likeness(a, b)) and r["near_next"] == pytest.approx(brute_likeness(a, c))
+            assert r["n_aligned"] == len(fingerprints.match_positions(t, changed))
     assert fingerprints.fingerprint_with_next(awkward).count() == awkward.count()
     assert fingerprints.fingerprint_with_next(nothing).count() == 0
     assert fingerprints.fingerprint_with_next(df.limit(1)).first()["near_next"] == 1.0
 
 
-def test_likeness():
-    rng = np.random.default_rng(1)
-    a, b = np.unique(rng.integers(0, 1 << 40, 100).astype(np.uint64)), np.unique(rng.integers(0, 1 << 40, 90).astype(np.uint64))
-    both = np.unique(np.concatenate([a[:50], b]))
-    want = sorted(set(a) | set(both))[:128]
-    assert fingerprints.likeness(a, both) == sum(x in set(a) and x in set(both) for x in want) / len(want)
-    none = np.zeros(0, np.uint64)
-    assert (fingerprints.likeness(none, none), fingerprints.likeness(none, a)) == (1.0, 0.0)
+def test_likeness_near_the_truth(monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    a = "".join(rng.choice("abcdefgh ") for _ in range(30_000))
+    b = a[:15_000] + "".join(rng.choice("abcdefgh ") for _ in range(9_000))
+    c = "".join(rng.choice("abcdefgh ") for _ in range(30_000)) + a[:400]
+    x, y, z = fingerprints.fingerprints([a, b, c])
+    sets = [set(fingerprints.anchors([t])[2].tolist()) for t in (a, b, c)]
+    assert len(x.hashes) > 500 and abs(fingerprints.likeness(x, y) - len(sets[0] & sets[1]) / len(sets[0] | sets[1])) < 0.05
+    assert 0 < fingerprints.likeness(x, z) < 0.02
+    monkeypatch.setattr(fingerprints, "SEGMENT", 777)
+    assert all((p.hashes == q.hashes).all() for p, q in zip(fingerprints.fingerprints([a, "", b, c]), [x, fingerprints.fingerprints([""])[0], y, z], strict=True))
+    # Texts of fewer than 2k - s code points may have no anchor, and then are their own.
+    short = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in range(1, 32) for _ in range(20)]
+    assert all(len(f.hashes) for f in fingerprints.fingerprints(short))
+    none = fingerprints.fingerprints([""])[0]
+    assert (fingerprints.likeness(none, none), fingerprints.likeness(none, x)) == (1.0, 0.0)
 
 
 def brute_licences(text, templates, dice):
