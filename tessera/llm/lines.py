@@ -50,6 +50,8 @@ def _ranked(suffixed: DataFrame, by: list[str]) -> DataFrame:
     """Suffixes that are not alone in their group, with its rank: the group's first suffix."""
     place = F.struct(*DOC, "s")
     groups = suffixed.groupBy(*by).agg(F.min(place).alias("rank"), F.max(place).alias("last")).filter("rank <> last").drop("last")
+    # As a table, so that the join with it can split the suffixes of a very common line.
+    groups = written(groups, "line-ranks")
     return suffixed.join(groups, by).select(*DOC, "s", "rank")
 
 
@@ -109,9 +111,9 @@ def _deleted(docs: DataFrame, gone: DataFrame) -> DataFrame:
     key, hashed = _place(docs)
     joined = docs.join(gone.withColumnsRenamed({"__key": "__own", "__hash": "__own_hash"}), (key == F.col("__own")) & (hashed == F.col("__own_hash")), "left")
     lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda x, i: F.coalesce(F.substring(F.col("__bits"), i + 1, F.lit(1)), F.lit(b"")) != F.lit(b"1"))
+    # The transform over one element makes the bits once for all lines.
+    kept = F.transform(F.array(_bits(F.col("__gone"))), lambda bits: F.filter(lines, lambda x, i: F.substring(bits, i + 1, F.lit(1)) != F.lit(b"1")))[0]
     runs = F.size(F.filter(F.transform("__gone", lambda x, j: x["s"] - F.coalesce(F.get("__gone", j - 1)["s"], F.lit(-2))), lambda d: d > 1))
-    joined = joined.withColumn("__bits", F.when(F.col("__gone").isNotNull(), _bits(F.col("__gone"))))
     out = joined.select(
         *[docs[c] for c in docs.columns if c != "text"],
         F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
