@@ -114,7 +114,9 @@ TEMPLATES = {
 
 # Common words, which say little about a licence.
 COMMON = frozenset(
-    "a all an and any are as at be by for from has have if in into is it its may must no not of on or other shall such that the their this to under was which will with without you your".split()
+    """a about all also an and any are as at be been being but by can could do does each either for from had has have he her here his how if in into is it its
+    may more must no not of on one only or other our shall she should so some such than that the their them then there these they this those to under up us use
+    used was we were what when where which who whom will with without would you your""".split()
 )
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -145,7 +147,7 @@ def telling_words(grams: list[str], dice: float) -> set[str]:
     lacking, left, chosen = len(grams) - needed(len(grams), dice), [set(g.split()) for g in grams], set()
     while len(grams) - len(left) <= lacking:
         often = Counter(w for g in left for w in g)
-        best = min(often, key=lambda w: (w in COMMON, -often[w], w))
+        best = min(often, key=lambda w: (w in COMMON, len(w) < 4, -often[w], w))
         chosen.add(best)
         left = [g for g in left if best not in g]
     return chosen
@@ -165,13 +167,12 @@ def candidates(docs: DataFrame, held: dict[str, list[str]], dice: float) -> Data
     """__key, __hash, __lines of each document and the name, grams of each template of which it has enough bigrams."""
     spark = docs.sparkSession
     telling = sorted(set().union(*(telling_words(g, dice) for g in held.values())))
-    text = F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), _UPPER, _LOWER), "[^a-z0-9\n]+", " ")
-    plain = docs.select(F.col("doc_id").cast("long").alias("__key"), F.xxhash64("text").alias("__hash"), text.alias("text"))
-    spoken = plain.filter(F.arrays_overlap(F.split(F.translate("text", "\n", " "), " "), F.array(*[F.lit(w) for w in telling])))
+    low = F.translate("text", _UPPER, _LOWER)
+    spoken = docs.filter(F.arrays_overlap(F.split(low, "[^a-z0-9]+"), F.array(*[F.lit(w) for w in telling])))
     lines = F.filter(
-        F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), F.filter(F.split(x, " "), lambda w: w != "").alias("words"))), lambda x: F.size(x["words"]) > 0
+        F.transform(F.split(F.regexp_replace(low, "[^a-z0-9\n]+", " "), "\n"), lambda x, i: F.struct(i.alias("i"), F.filter(F.split(x, " "), lambda w: w != "").alias("words"))), lambda x: F.size(x["words"]) > 0
     )
-    spoken = written(spoken.select("__key", "__hash", lines.alias("__lines")).dropDuplicates(["__key", "__hash"]), "licence-texts")
+    spoken = written(spoken.select(F.col("doc_id").cast("long").alias("__key"), F.xxhash64("text").alias("__hash"), lines.alias("__lines")), "licence-texts")
     grams = spoken.select("__key", "__hash", F.explode(_with(F.flatten(F.transform("__lines", lambda x: x["words"])), _bigrams)).alias("gram"))
     # The templates' bigrams are a fixed list, some thousands.
     known = spark.createDataFrame([(name, g, len(gs)) for name, gs in held.items() for g in gs], "name string, gram string, n int")
@@ -220,7 +221,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, dice: float =
     words = F.transform(F.col("units"), lambda u: F.flatten(F.transform(F.slice(lines, u["a"] + 1, u["b"] - u["a"] + 1), lambda x: x["words"])))
     coefficient = F.transform(F.filter(words, lambda w: F.greatest(F.size(w) - 1, F.lit(1)) >= least), lambda w: _with(_bigrams(w), lambda g: 2.0 * F.size(F.array_intersect(g, grams)) / (F.size(g) + F.size(grams))))
     best = found.withColumn("units", _units(lines, grams)).select("__key", "__hash", "name", F.array_max(coefficient).alias("d")).filter(F.col("d") >= dice)
-    per = best.groupBy("__key", "__hash").agg(
+    # Rows that repeat both doc_id and text are one here.
+    per = best.groupBy("__key", "__hash", "name").agg(F.max("d").alias("d")).groupBy("__key", "__hash").agg(
         F.count(F.lit(1)).alias("n_licences"),
         F.array_join(F.sort_array(F.collect_list("name")), ",").alias("licences"),
         F.min(F.struct((-F.col("d")).alias("d"), "name")).alias("first"),
