@@ -2,9 +2,9 @@
 
 Normalising maps A-Z to lower case and everything but a-z, 0-9 and line ends to spaces; lines
 without words are blank. A document is read as units, ranges of its lines that are not blank:
-the whole text, its blocks between blank lines, its lines, and for each template the runs of
-lines that speak for it (half of their bigrams or more are the template's), over gaps of up
-to `GAP` other lines. So a licence is found wherever it stands in a longer text, wrapped or in
+the whole text, its blocks between blank lines, and for each template the lines that speak
+for it (half of their bigrams or more are the template's) and the runs of such, over gaps of
+up to `GAP` other lines. So a licence is found wherever it stands in a longer text, wrapped or in
 several paragraphs. A unit's bigrams go on from line to line; a unit of one word has that word
 for its only bigram.
 
@@ -172,7 +172,8 @@ def candidates(docs: DataFrame, held: dict[str, list[str]], dice: float) -> Data
     lines = F.filter(
         F.transform(F.split(F.regexp_replace(low, "[^a-z0-9\n]+", " "), "\n"), lambda x, i: F.struct(i.alias("i"), F.filter(F.split(x, " "), lambda w: w != "").alias("words"))), lambda x: F.size(x["words"]) > 0
     )
-    spoken = written(spoken.select(F.col("doc_id").cast("long").alias("__key"), F.xxhash64("text").alias("__hash"), lines.alias("__lines")), "licence-texts")
+    spoken = spoken.select(F.col("doc_id").cast("long").alias("__key"), F.xxhash64("text").alias("__hash"), _with(lines, _with_own).alias("__lines"))
+    spoken = written(spoken, "licence-texts")
     grams = spoken.select("__key", "__hash", F.explode(_with(F.flatten(F.transform("__lines", lambda x: x["words"])), _bigrams)).alias("gram"))
     # The templates' bigrams are a fixed list, some thousands.
     known = spark.createDataFrame([(name, g, len(gs)) for name, gs in held.items() for g in gs], "name string, gram string, n int")
@@ -182,14 +183,19 @@ def candidates(docs: DataFrame, held: dict[str, list[str]], dice: float) -> Data
     return spoken.join(enough, spoken["__key"].eqNullSafe(F.col("k")) & (spoken["__hash"] == F.col("h"))).drop("k", "h")
 
 
-def _speaking(lines: Column, grams: Column) -> Column:
-    """Numbers of the lines of whose bigrams, the one to the next line included, the template has half."""
+def _with_own(lines: Column) -> Column:
+    """Lines, each with its distinct bigrams, the one to the next line included."""
 
     def own(x: Column, j: Column) -> Column:
         after = F.get(lines, j + 1)["words"]
         return _bigrams(F.concat(x["words"], F.when(after.isNull(), F.array().cast("array<string>")).otherwise(F.slice(after, 1, 1))))
 
-    says = F.transform(lines, lambda x, j: F.when(_with(own(x, j), lambda g: 2 * F.size(F.array_intersect(g, grams)) >= F.size(g)), j))
+    return F.transform(lines, lambda x, j: F.struct(x["i"].alias("i"), x["words"].alias("words"), own(x, j).alias("own")))
+
+
+def _speaking(lines: Column, grams: Column) -> Column:
+    """Numbers of the lines of whose bigrams the template has half."""
+    says = F.transform(lines, lambda x, j: F.when(2 * F.size(F.array_intersect(x["own"], grams)) >= F.size(x["own"]), j))
     return F.filter(says, lambda j: j.isNotNull())
 
 
@@ -204,11 +210,12 @@ def _units(lines: Column, grams: Column) -> Column:
     """The ranges of lines to compare with a template."""
     size = F.size(lines)
     whole = F.array(F.struct(F.lit(0).alias("a"), (size - 1).alias("b")))
-    single = F.transform(lines, lambda _, j: F.struct(j.alias("a"), j.alias("b")))
     # A block's lines follow one another in the text; what their numbers are among those not blank is the difference.
     starts = F.filter(F.transform(lines, lambda x, j: F.when((j == 0) | (x["i"] != F.get(lines, j - 1)["i"] + 1), j)), lambda j: j.isNotNull())
     blocks = F.transform(starts, lambda a, k: F.struct(a.alias("a"), F.coalesce(F.get(starts, k + 1) - 1, size - 1).alias("b")))
-    return F.array_distinct(F.concat(whole, blocks, single, _with(_speaking(lines, grams), lambda p: _ranges(p, GAP + 1))))
+    # A line that matches speaks for the template: it shares two thirds of its bigrams or more.
+    said = _with(_speaking(lines, grams), lambda p: F.concat(F.transform(p, lambda j: F.struct(j.alias("a"), j.alias("b"))), _ranges(p, GAP + 1)))
+    return F.array_distinct(F.concat(whole, blocks, said))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, dice: float = DICE) -> DataFrame:
