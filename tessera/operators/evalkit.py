@@ -37,16 +37,28 @@ def leaderboard(scores: DataFrame, by: str, metrics: list[str]) -> DataFrame:
     return scores.groupBy(by).agg(*[F.round(F.percentile(m, 0.5), 6).alias(f"median_{m}") for m in metrics], F.count(F.lit(1)).alias("n"))
 
 
+COST_RANGES = 64
+
+
 def pareto_mask(scores: DataFrame, cost: str, quality: str, ties: list[str], within: list[str] | None = None) -> DataFrame:
     """Rows whose quality strictly beats the best so far in order of cost; at equal cost an earlier, worse row stays.
 
     Rows that are not finite go. Within groups the running maximum is a window; over the whole
-    table, the best of each cost comes first (a partial aggregation), then a window over costs.
+    table rows are dealt into ranges of cost, whose best qualities (one number a range) are run
+    through first, so no task holds them all.
     """
     finite = scores.filter(F.col(cost).isNotNull() & F.col(quality).isNotNull() & ~F.isnan(cost) & ~F.isnan(quality))
-    order = (Window.partitionBy(*within) if within else Window.partitionBy()).orderBy(cost, *ties)
-    best = F.max(quality).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return finite.withColumn("best", best).filter(F.col("best").isNull() | (F.col(quality) > F.col("best"))).drop("best")
+    if within:
+        order = Window.partitionBy(*within).orderBy(cost, *ties)
+        best = F.max(quality).over(order.rowsBetween(Window.unboundedPreceding, -1))
+        return finite.withColumn("best", best).filter(F.col("best").isNull() | (F.col(quality) > F.col("best"))).drop("best")
+    cuts = finite.agg(F.percentile_approx(cost, [i / COST_RANGES for i in range(1, COST_RANGES)]).alias("c")).first()["c"] or []
+    dealt = finite.withColumn("__range", sum((F.when(F.col(cost) > c, 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0)))
+    tops = dealt.groupBy("__range").agg(F.max(quality).alias("__top"))
+    before = tops.select("__range", F.max("__top").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
+    own = F.max(quality).over(Window.partitionBy("__range").orderBy(cost, *ties).rowsBetween(Window.unboundedPreceding, -1))
+    ran = dealt.withColumn("__own", own).join(F.broadcast(before), "__range").withColumn("__best", F.greatest("__own", "__before"))
+    return ran.filter(F.col("__best").isNull() | (F.col(quality) > F.col("__best"))).select(*scores.columns)
 
 
 def strict_pareto(points: DataFrame, axes: list[str]) -> DataFrame:

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import checkpointed
+
 
 def _along():
     return Window.partitionBy("line_id").orderBy("seq")
@@ -149,7 +151,22 @@ def containment_parent(boxes: DataFrame) -> DataFrame:
 
 
 def nearest_segment(probes: DataFrame, steps: DataFrame, cell: float) -> DataFrame:
-    """The step nearest each probe within `cell`, found in the nine cells about it: probe_id, line_id, seq, distance.
+    """The step nearest each probe: probe_id, line_id, seq, distance.
+
+    Probes look within `cell` first; those that find nothing look again in cells of twice the
+    size, until all have found one.
+    """
+    found = checkpointed(nearest_within(probes, steps, cell))
+    left = checkpointed(probes.join(found, "probe_id", "left_anti"))
+    while left.limit(1).count() and steps.limit(1).count():
+        cell *= 2
+        more = checkpointed(nearest_within(left, steps, cell))
+        found, left = found.unionByName(more), checkpointed(left.join(more, "probe_id", "left_anti"))
+    return found
+
+
+def nearest_within(probes: DataFrame, steps: DataFrame, cell: float) -> DataFrame:
+    """The step nearest each probe within `cell`, found in the nine cells about it.
 
     Steps are put into every cell that their bounding box meets, so no nearer one is missed.
     """

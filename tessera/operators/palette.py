@@ -34,22 +34,38 @@ def distinct_colours(pixels: DataFrame) -> DataFrame:
 
 
 def frequency_modes(lab: DataFrame) -> DataFrame:
-    """Occupied cells of a 24-cube over OKLab: image_id, rank (by count, then cell), cell, n and the mean colour."""
+    """Occupied cells of a 24-cube over OKLab: image_id, rank (by count, then cell), cell, n and the mean colour.
+
+    Colours count to four digits, means have six.
+    """
     top = MODE_CELLS - 1
 
     def cell(v: Column) -> Column:
         return F.floor(F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)) * top + 0.5).cast("int")
 
     key = cell(F.col("l")) * MODE_CELLS * MODE_CELLS + cell((F.col("a") + 0.4) / 0.8) * MODE_CELLS + cell((F.col("b") + 0.4) / 0.8)
-    cells = lab.withColumn("cell", key).groupBy("image_id", "cell").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(x), 6).alias(x) for x in "lab"])
+    n = F.count(F.lit(1))
+    # Whole ten-thousandths add up exactly in any order; halves of the last digit go up.
+    means = [(F.floor(F.sum(F.round(F.col(x) * 10_000).cast("long")) * 100 / n + 0.5) / 1e6).alias(x) for x in "lab"]
+    cells = lab.withColumn("cell", key).groupBy("image_id", "cell").agg(n.alias("n"), *means)
     return cells.withColumn("rank", F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("n"), "cell")))
 
 
+def _palettes(inks: DataFrame, axes: tuple[str, ...]) -> DataFrame:
+    """One row an image with the array of its inks, by number; a palette is some tens of inks at most."""
+    return inks.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("ink_id", *axes))).alias("inks"))
+
+
 def nearest_ink(pixels: DataFrame, inks: DataFrame, axes: tuple[str, ...] = ("l", "a", "b")) -> DataFrame:
-    """Each pixel's nearest ink of its image and the squared distance, the lower index of equals."""
-    marks = inks.select("image_id", "ink_id", *[F.col(x).alias(f"ink_{x}") for x in axes])
-    near = sum(((F.col(x) - F.col(f"ink_{x}")) * (F.col(x) - F.col(f"ink_{x}")) for x in axes), F.lit(0.0))
-    best = pixels.join(marks, "image_id").groupBy("image_id", "x", "y", *axes).agg(F.min(F.struct(F.round(near, 9).alias("d"), "ink_id")).alias("m"))
+    """Each pixel's nearest ink of its image and the squared distance, the lower index of equals.
+
+    A pixel stays one row: it looks through its image's palette, and nothing is shuffled but palettes.
+    """
+
+    def far(ink: Column) -> Column:
+        return F.round(sum(((F.col(x) - ink[x]) * (F.col(x) - ink[x]) for x in axes), F.lit(0.0)), 12)
+
+    best = pixels.join(_palettes(inks, axes), "image_id").withColumn("m", F.array_min(F.transform("inks", lambda i: F.struct(far(i).alias("d"), i["ink_id"].alias("ink_id")))))
     return best.select("image_id", "x", "y", *axes, F.col("m.ink_id").alias("ink_id"), F.col("m.d").alias("d2"))
 
 
@@ -65,12 +81,15 @@ def mixture_pairs(pixels: DataFrame, inks: DataFrame, axes: tuple[str, ...] = ("
     first = inks.select("image_id", F.col("ink_id").alias("a_id"), *[F.col(x).alias(f"p_{x}") for x in axes])
     other = inks.select("image_id", F.col("ink_id").alias("b_id"), *[F.col(x).alias(f"q_{x}") for x in axes])
     pairs = first.join(other, "image_id").filter("a_id < b_id")
-    joined = pixels.join(pairs, "image_id")
-    t = C.blend_position([F.col(x) for x in axes], [F.col(f"p_{x}") for x in axes], [F.col(f"q_{x}") for x in axes])
-    joined = joined.withColumn("t", t)
-    d = sum(((F.col(x) - F.col(f"p_{x}") - F.col("t") * (F.col(f"q_{x}") - F.col(f"p_{x}"))) ** 2 for x in axes), F.lit(0.0))
-    choice = F.struct(F.round(F.sqrt(d), 6).alias("residual"), "a_id", "b_id", F.when(F.col("t") < 0.5, F.col("a_id")).otherwise(F.col("b_id")).alias("dominant"))
-    best = joined.groupBy("image_id", "x", "y").agg(F.min(choice).alias("m"))
+    sides = [f"{s}_{x}" for s in "pq" for x in axes]
+    held = pairs.groupBy("image_id").agg(F.collect_list(F.struct("a_id", "b_id", *sides)).alias("pairs"))
+
+    def choice(k: Column) -> Column:
+        t = C.blend_position([F.col(x) for x in axes], [k[f"p_{x}"] for x in axes], [k[f"q_{x}"] for x in axes])
+        d = sum(((F.col(x) - k[f"p_{x}"] - t * (k[f"q_{x}"] - k[f"p_{x}"])) ** 2 for x in axes), F.lit(0.0))
+        return F.struct(F.round(F.sqrt(d), 6).alias("residual"), k["a_id"].alias("a_id"), k["b_id"].alias("b_id"), F.when(t < 0.5, k["a_id"]).otherwise(k["b_id"]).alias("dominant"))
+
+    best = pixels.join(held, "image_id").withColumn("m", F.array_min(F.transform("pairs", choice)))
     return best.select("image_id", "x", "y", "m.a_id", "m.b_id", "m.residual", "m.dominant")
 
 

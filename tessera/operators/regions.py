@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import checkpointed
+
 OUTSIDE = 65_535
 
 
@@ -97,18 +99,19 @@ def components_by_rounds(labels: DataFrame) -> DataFrame:
     A run takes the least number among its neighbours', then that run's own, which halves the paths
     that are left. Rounds are checkpointed in the folder that the session names; use it where an image doesn't fit a task.
     """
-    runs = row_runs(labels).withColumn("node", F.col("y").cast("long") * (1 << 32) + F.col("x0")).checkpoint()
+    runs = row_runs(labels).withColumn("node", F.col("y").cast("long") * (1 << 32) + F.col("x0"))
+    runs = checkpointed(runs)
     a, b = runs.alias("a"), runs.alias("b")
     meet = (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.y") + 1 == F.col("b.y")) & (F.col("a.label") == F.col("b.label")) & (F.col("a.x0") < F.col("b.x1")) & (F.col("b.x0") < F.col("a.x1"))
     down = a.join(b, meet).select("a.image_id", F.col("a.node").alias("u"), F.col("b.node").alias("w"))
-    edges = down.unionByName(down.select("image_id", F.col("w").alias("u"), F.col("u").alias("w"))).checkpoint()
+    edges = checkpointed(down.unionByName(down.select("image_id", F.col("w").alias("u"), F.col("u").alias("w"))))
     state = runs.select("image_id", F.col("node").alias("u"), F.col("node").alias("least"))
     moved = 1
     while moved:
         offers = edges.join(state, ["image_id", "u"]).select("image_id", F.col("w").alias("u"), "least").unionByName(state)
         nearer = offers.groupBy("image_id", "u").agg(F.min("least").alias("least"))
         further = state.select("image_id", F.col("u").alias("least"), F.col("least").alias("further"))
-        new = nearer.join(further, ["image_id", "least"]).select("image_id", "u", F.least("least", "further").alias("least")).checkpoint()
+        new = checkpointed(nearer.join(further, ["image_id", "least"]).select("image_id", "u", F.least("least", "further").alias("least")))
         moved = new.alias("n").join(state.alias("o"), ["image_id", "u"]).filter(F.col("n.least") != F.col("o.least")).limit(1).count()
         state = new
     rank = F.dense_rank().over(Window.partitionBy("image_id").orderBy("least")) - 1

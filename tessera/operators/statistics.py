@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,23 +110,65 @@ def gate_compare(paired: DataFrame, family: str) -> DataFrame:
     return one.select(*[F.round(c, 8).alias(c) for c in ("base_macro", "current_macro", "base_micro", "current_micro")], F.round(rel, 8).alias("rel"), "n", "changed", "better", "worse")
 
 
-def hash_draw(replicate: Column, draw: Column, n: Column, salt: str) -> Column:
-    """An index from 1 to n, from MD5: the same draws in any engine."""
-    digest = F.md5(F.concat_ws(":", F.lit(salt), replicate.cast("string"), draw.cast("string")).cast("binary"))
-    return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") % n + 1).cast("int")
+REPLICATES, SEED, BLOCK = 10_000, 20261002, 4096
+
 
+def draws_of_block(seed: int, family: str, sizes: np.ndarray, block: int, replicates: int) -> np.ndarray:
+    """How many of each replicate's draws, as many as the family has rows, fall into a block.
 
-def bootstrap(paired: DataFrame, family: str, key: str, replicates: int, salt: str = "boot") -> DataFrame:
+    A tree halves the blocks; at each branch the draws are split by a binomial that its place seeds.
+    So every block finds its own counts, and those of all blocks add up.
+    """
+    low, high, name = 0, len(sizes), zlib.crc32(family.encode())
+    count = np.full(replicates, int(sizes.sum()), np.int64)
+    while high - low > 1:
+        mid = (low + high) // 2
+        left = np.random.default_rng([seed, name, low, high]).binomial(count, sizes[low:mid].sum() / sizes[low:high].sum())
+        if block < mid:
+            count, high = left, mid
+        else:
+            count, low = count - left, mid
+    return count
+
+
+def drawn_sums(rng: np.random.Generator, values: np.ndarray, counts: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """Sums of the columns of values over as many uniform draws as each replicate has here, some replicates at a time."""
+    out = np.zeros((len(counts), values.shape[1]))
+    step = max(1, most // max(1, int(counts.max(initial=1))))
+    for i in range(0, len(counts), step):
+        ends = np.cumsum(counts[i : i + step])
+        picked = rng.integers(0, len(values), int(ends[-1]))
+        for c in range(values.shape[1]):
+            upto = np.concatenate([[0.0], np.cumsum(values[picked, c])])
+            out[i : i + step, c] = np.diff(upto[ends], prepend=0.0)
+    return out
+
+
+def bootstrap(paired: DataFrame, family: str, key: str, replicates: int = REPLICATES, seed: int = SEED, block: int = BLOCK) -> DataFrame:
     """Stratified paired bootstrap of the macro mean's relative change: replicate, rel.
 
-    Each family's pairs are numbered; a replicate draws as many as there are, with replacement.
+    A replicate draws as many pairs of each family as it has, with replacement. Families are dealt
+    into blocks of about `block` pairs; a task draws for one block and gives a row of sums a replicate, so
+    no family has to fit a task, and nothing of the size of rows x replicates is moved.
     """
-    whole = Window.partitionBy(family)
-    numbered = paired.select(family, "base", "current", F.row_number().over(whole.orderBy(key)).alias("i"), F.count(F.lit(1)).over(whole).alias("m"))
-    spread = numbered.select(family, F.col("i").alias("draw"), "m").withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    drawn = spread.select(family, "replicate", hash_draw(F.concat_ws("/", F.col(family), F.col("replicate")), F.col("draw"), F.col("m"), salt).alias("i"))
-    means = drawn.join(numbered.drop("m"), [family, "i"]).groupBy("replicate", family).agg(F.avg("base").alias("base"), F.avg("current").alias("current"))
-    macro = means.groupBy("replicate").agg(F.avg("base").alias("base"), F.avg("current").alias("current"))
+    sizes = paired.groupBy(family).agg(F.count(F.lit(1)).alias("n"))
+    placed = paired.join(sizes, family).select(F.col(family).alias("family"), F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.ceil(F.col("n") / block)).cast("int").alias("block"), F.col(key).alias("key"), "base", "current")
+    blocks = placed.groupBy("family", "block").agg(F.count(F.lit(1)).alias("m"))
+    layout = blocks.groupBy("family").agg(F.sort_array(F.collect_list(F.struct("block", "m"))).alias("layout"))
+
+    def draw(rows: pd.DataFrame, info: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["key", "base", "current"], kind="stable")
+        name, own, layout = str(info["f"].iloc[0]), int(info["b"].iloc[0]), info["layout"].iloc[0]
+        numbers, counts = [x["block"] for x in layout], np.array([x["m"] for x in layout], np.int64)
+        drawn = draws_of_block(seed, name, counts, numbers.index(own), replicates)
+        sums = drawn_sums(np.random.default_rng([seed, zlib.crc32(name.encode()), own]), rows[["base", "current"]].to_numpy(), drawn)
+        return pd.DataFrame({"family": info["f"].iloc[0], "replicate": np.arange(1, replicates + 1, dtype=np.int32), "base": sums[:, 0], "current": sums[:, 1]})
+
+    kind = paired.schema[family].dataType.simpleString()
+    info = blocks.join(layout, "family").select(F.col("family").alias("f"), F.col("block").alias("b"), "layout")
+    drawn = placed.groupBy("family", "block").cogroup(info.groupBy("f", "b")).applyInPandas(draw, f"family {kind}, replicate int, base double, current double")
+    means = drawn.groupBy("family", "replicate").agg(F.sum("base").alias("base"), F.sum("current").alias("current")).join(sizes.withColumnRenamed(family, "family"), "family")
+    macro = means.groupBy("replicate").agg(F.avg(F.col("base") / F.col("n")).alias("base"), F.avg(F.col("current") / F.col("n")).alias("current"))
     return macro.select("replicate", F.round(relative(F.col("base"), F.col("current")), 8).alias("rel"))
 
 

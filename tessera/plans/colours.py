@@ -53,15 +53,23 @@ def oklab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oklab_tiles(spark, sf_dir).select("image_id", "x", "y", *[F.round(n, 6).alias(n) for n in "lab"])
 
 
-@register("oklab_round_trip", f"WITH {RGB_SQL} SELECT image_id, x, y, true AS same FROM rgb")
+BACK_SQL = (
+    LAB_SQL
+    + f""",
+bl AS (SELECT image_id, x, y, {", ".join(f"pow({_dot(row, ['ol', 'oa', 'ob'])}, 3) AS m{i}" for i, row in enumerate(C.FROM_LAB))} FROM ok),
+bm AS (SELECT image_id, x, y, {", ".join(f"{_dot(row, ['m0', 'm1', 'm2'])} AS v{i}" for i, row in enumerate(C.FROM_LMS))} FROM bl)"""
+)
+
+
+def _encoded(c: str) -> str:
+    return f"least(greatest(CASE WHEN {c} <= 0.0031308 THEN {c} * 12.92 ELSE 1.055 * pow(greatest({c}, 0), 1 / 2.4::DOUBLE) - 0.055 END, 0), 1)"
+
+
+@register("oklab_round_trip", f"WITH {BACK_SQL} SELECT image_id, x, y, {', '.join(f'round({_encoded(f"v{i}")}, 6) AS {c}' for i, c in enumerate('rgb'))} FROM bm")
 def oklab_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether colours come back within a thousandth."""
-    lab = C.srgb_to_oklab(*_rgb())
-    back = C.oklab_to_srgb(*lab)
-    same = F.lit(True)
-    for c, v in zip("rgb", back, strict=True):
-        same &= F.abs(F.col(c) - v) < 1e-3
-    return rgb_tiles(spark, sf_dir).select("image_id", "x", "y", same.alias("same"))
+    """Colours after OKLab and back."""
+    back = C.oklab_to_srgb(*C.srgb_to_oklab(*_rgb()))
+    return rgb_tiles(spark, sf_dir).select("image_id", "x", "y", *[F.round(v, 6).alias(c) for c, v in zip("rgb", back, strict=True)])
 
 
 def _f(t: str) -> str:
@@ -143,9 +151,9 @@ def distinct_colour_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 MD_SQL = LAB_SQL + """,
 orr AS (SELECT image_id, x, y, round(ol, 4) + 0.0 AS l, round(oa, 4) + 0.0 AS a, round(ob, 4) + 0.0 AS b FROM ok),
 mc AS (SELECT *, CAST(floor(least(greatest(l, 0), 1) * 23 + 0.5) * 576 + floor(least(greatest((a + 0.4) / 0.8, 0), 1) * 23 + 0.5) * 24 + floor(least(greatest((b + 0.4) / 0.8, 0), 1) * 23 + 0.5) AS INT) AS cell FROM orr),
-md AS (SELECT image_id, cell, count(*) AS n, round(avg(l), 6) AS l, round(avg(a), 6) AS a, round(avg(b), 6) AS b FROM mc GROUP BY 1, 2),
+md AS (SELECT image_id, cell, count(*) AS n, floor(sum(CAST(round(l * 10000) AS BIGINT))::BIGINT * 100 / count(*) + 0.5) / 1e6::DOUBLE AS l, floor(sum(CAST(round(a * 10000) AS BIGINT))::BIGINT * 100 / count(*) + 0.5) / 1e6::DOUBLE AS a, floor(sum(CAST(round(b * 10000) AS BIGINT))::BIGINT * 100 / count(*) + 0.5) / 1e6::DOUBLE AS b FROM mc GROUP BY 1, 2),
 mr AS (SELECT *, CAST(row_number() OVER (PARTITION BY image_id ORDER BY n DESC, cell) AS INT) AS rank FROM md),
-ik AS (SELECT image_id, rank - 1 AS ink_id, round(l, 3) AS l, round(a, 3) AS a, round(b, 3) AS b FROM mr WHERE rank <= 4)"""
+ik AS (SELECT image_id, rank - 1 AS ink_id, l, a, b FROM mr WHERE rank <= 4)"""
 
 
 def rounded_lab(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +162,7 @@ def rounded_lab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def inks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four commonest modes of each tile."""
-    return P.frequency_modes(rounded_lab(spark, sf_dir)).filter("rank <= 4").select("image_id", (F.col("rank") - 1).alias("ink_id"), *[F.round(n, 3).alias(n) for n in "lab"])
+    return P.frequency_modes(rounded_lab(spark, sf_dir)).filter("rank <= 4").select("image_id", (F.col("rank") - 1).alias("ink_id"), *"lab")
 
 
 @register("frequency_modes", f"WITH {MD_SQL} SELECT * FROM mr")
@@ -163,7 +171,7 @@ def frequency_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NI_SQL = MD_SQL + """,
-nd AS (SELECT p.*, i.ink_id, round((p.l - i.l) * (p.l - i.l) + (p.a - i.a) * (p.a - i.a) + (p.b - i.b) * (p.b - i.b), 9) AS d2 FROM orr p JOIN ik i USING (image_id)),
+nd AS (SELECT p.*, i.ink_id, round((p.l - i.l) * (p.l - i.l) + (p.a - i.a) * (p.a - i.a) + (p.b - i.b) * (p.b - i.b), 12) AS d2 FROM orr p JOIN ik i USING (image_id)),
 ni AS (SELECT * FROM nd QUALIFY row_number() OVER (PARTITION BY image_id, x, y ORDER BY d2, ink_id) = 1)"""
 
 

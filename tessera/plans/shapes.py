@@ -59,12 +59,6 @@ def max_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.max_deviation(polylines(spark, sf_dir))
 
 
-@register("segment_crossings", f"WITH {SG_SQL} SELECT p.line_id, p.seq AS a, q.seq AS b FROM sg p JOIN sg q ON p.line_id = q.line_id AND p.seq + 1 < q.seq WHERE ((p.nx - p.x) * (q.y - p.y) - (p.ny - p.y) * (q.x - p.x)) * ((p.nx - p.x) * (q.ny - p.y) - (p.ny - p.y) * (q.nx - p.x)) < 0 AND ((q.nx - q.x) * (p.y - q.y) - (q.ny - q.y) * (p.x - q.x)) * ((q.nx - q.x) * (p.ny - q.y) - (q.ny - q.y) * (p.nx - q.x)) < 0")
-def segment_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Two steps of a line in order of time never overlap in x, so lines fold over a shorter axis to cross.
-    return G.crossings(polylines(spark, sf_dir))
-
-
 FOLD_SQL = PL_SQL.replace("pl AS", "p0 AS") + ", pl AS (SELECT line_id, seq, round(x - 9 * floor(x / 9), 6) AS x, y, sigma FROM p0)"
 
 
@@ -88,10 +82,10 @@ def point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.points_in_rings(grid.select("line_id", (F.col("u") + 0.5).alias("px"), (F.col("t") * 20 + 7.5).alias("py")), rings)
 
 
-@register("nearest_segment_bucketed", f"WITH {FSG_SQL}, pb AS (SELECT (u * 5 + t) AS probe_id, u + 0.5::DOUBLE AS px, t * 20 + 7.5::DOUBLE AS py FROM range(0, 9) AS a(u), range(0, 5) AS b(t)), d AS (SELECT probe_id, line_id, seq, px, py, x, y, nx, ny, coalesce(least(greatest(((px - x) * (nx - x) + (py - y) * (ny - y)) / nullif(pow(nx - x, 2) + pow(ny - y, 2), 0), 0), 1), 0) AS t FROM pb, sg), e AS (SELECT probe_id, line_id, seq, round(sqrt(pow(px - x - t * (nx - x), 2) + pow(py - y - t * (ny - y), 2)), 6) AS distance FROM d) SELECT * FROM e WHERE distance <= 2 QUALIFY row_number() OVER (PARTITION BY probe_id ORDER BY distance, line_id, seq) = 1")
+@register("nearest_segment_bucketed", f"WITH {FSG_SQL}, pb AS (SELECT (u * 5 + t) AS probe_id, u + 0.5::DOUBLE AS px, t * 20 + 7.5::DOUBLE AS py FROM range(0, 9) AS a(u), range(0, 5) AS b(t)), d AS (SELECT probe_id, line_id, seq, px, py, x, y, nx, ny, coalesce(least(greatest(((px - x) * (nx - x) + (py - y) * (ny - y)) / nullif(pow(nx - x, 2) + pow(ny - y, 2), 0), 0), 1), 0) AS t FROM pb, sg), e AS (SELECT probe_id, line_id, seq, round(sqrt(pow(px - x - t * (nx - x), 2) + pow(py - y - t * (ny - y), 2)), 6) AS distance FROM d) SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY probe_id ORDER BY distance, line_id, seq) = 1")
 def nearest_segment_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
     probes = spark.range(45).select(F.col("id").alias("probe_id"), (F.floor(F.col("id") / 5) + 0.5).alias("px"), (F.col("id") % 5 * 20 + 7.5).alias("py"))
-    return G.nearest_segment(probes, G.segments(folded(spark, sf_dir)), 2.0)
+    return G.nearest_segment(probes, G.segments(folded(spark, sf_dir)), 0.5)
 
 
 def _span_sql(inside: str) -> str:

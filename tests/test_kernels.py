@@ -5,8 +5,10 @@ import itertools
 import numpy as np
 import pytest
 
+from tessera.operators import dense as D
 from tessera.operators import geometry as G
 from tessera.operators import regions as R
+from tessera.operators import statistics as S
 from tessera.plans import raster
 from tessera.sources.derived import polylines
 
@@ -127,3 +129,111 @@ def test_kernels_over_tables(spark):
     images = raster.label_arrays(spark, SF)
     got = R.despeckled(images, 8, 8, 3).groupBy("image_id").count()
     assert got.count() == images.count() and got.filter("count <> 64").count() == 0
+
+
+def test_haar_distance():
+    """The sums written out, pixel by pixel, on mirrored coordinates."""
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 256, (2, 12, 10)).astype(float)
+
+    def half(y):
+        return [[(y[2 * i][2 * j] + y[2 * i][2 * j + 1] + y[2 * i + 1][2 * j] + y[2 * i + 1][2 * j + 1]) / 4 for j in range(5)] for i in range(6)]
+
+    def at(y, i, j):
+        h, w = len(y), len(y[0])
+        i, j = (i if i >= 0 else -1 - i), (j if j >= 0 else -1 - j)
+        return y[i if i < h else 2 * h - 1 - i][j if j < w else 2 * w - 1 - j]
+
+    def response(y, n, i, j, upright):
+        total = 0
+        for p in range(n):
+            for q in range(n):
+                step = p if upright else q
+                total += at(y, i + p - n // 2, j + q - n // 2) * (2 / n if step < n // 2 else -2 / n) / n
+        return abs(total)
+
+    x, y = half(a), half(b)
+    top = bottom = 0
+    for upright in (False, True):
+        for i in range(6):
+            for j in range(5):
+                pairs = [(response(x, n, i, j, upright), response(y, n, i, j, upright)) for n in (2, 4, 8)]
+                alike = sum((2 * p * q + 30) / (p * p + q * q + 30) for p, q in pairs[:2]) / 2
+                top += max(pairs[2]) / (1 + np.exp(-4.2 * alike))
+                bottom += max(pairs[2])
+    mean = top / bottom
+    assert D.haar_distance(a, b) == pytest.approx(1 - (np.log(mean / (1 - mean)) / 4.2) ** 2)
+    assert D.haar_distance(a, a) < 1e-9
+
+
+def test_capped_components():
+    rng = np.random.default_rng(1)
+    for _ in range(8):
+        grid = rng.integers(0, 3, (9, 8))
+        out = D.capped(grid, 5, R.label_components)
+        assert R.label_components(out).max() + 1 <= 5 and (D.capped(out, 5, R.label_components) == out).all()
+        large = R.label_components(grid)
+        assert (D.capped(grid, large.max() + 1, R.label_components) == grid).all()
+    # One speck takes the label that it touches most.
+    grid = np.array([[0, 0, 1, 1], [0, 2, 1, 1], [0, 1, 1, 1]])
+    assert D.capped(grid, 2, R.label_components)[1, 1] == 0
+
+
+def test_cover_of_polygons():
+    square = np.array([[0.5, 0.25], [2.5, 0.25], [2.5, 1.25], [0.5, 1.25]])
+    assert np.allclose(D.clipped_cover(square, 4, 2), [[0.375, 0.75, 0.375, 0], [0.125, 0.25, 0.125, 0]])
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        triangle = rng.random((3, 2)) * 6
+        assert D.clipped_cover(triangle, 6, 6).sum() == pytest.approx(abs(D.ring_area(triangle)))
+
+
+def test_contours_close_and_hold_what_is_inside():
+    rng = np.random.default_rng(5)
+    for _ in range(10):
+        field = rng.random((7, 6))
+        lines = D.contours(field)
+        assert all(np.abs(np.diff(np.vstack([x, x[:1]]), axis=0)).max() <= 1 + 1e-9 for x in lines)
+    ring = np.zeros((5, 5))
+    ring[1:4, 1:4] = 1
+    ring[2, 2] = 0
+    areas = sorted(D.ring_area(x) for x in D.contours(ring))
+    assert len(areas) == 2 and areas[0] < 0 < areas[1]
+
+
+def test_rings_of_faces():
+    grid = np.array([[0, 0, 0, 0], [0, 1, 0, 2], [0, 0, 0, 2]])
+    rings = D.face_rings(R.label_components(grid))
+    assert sorted((f, D.ring_area(r)) for f, r in rings) == [(0, -1.0), (0, 10.0), (1, 1.0), (2, 2.0)]
+    # Parts that meet at a corner only are rings of their own, each corner named once.
+    assert all(len(r) == 4 for _, r in D.face_rings(np.array([[0, 1], [2, 3]])))
+
+
+def test_bootstrap_like_plain_resampling(spark):
+    rng = np.random.default_rng(9)
+    base = rng.random(900) + 0.5
+    current = base * (1 + rng.normal(0, 0.2, 900))
+    rows = [(f"f{i % 3}", i, float(base[i]), float(current[i])) for i in range(900)]
+    df = spark.createDataFrame(rows, "family string, part long, base double, current double")
+    got = np.sort([r["rel"] for r in S.bootstrap(df, "family", "part", 4000, block=64).collect()])
+    plain = []
+    for _ in range(4000):
+        means = [[x[i].mean() for x in (base[k::3], current[k::3])] for k in range(3) for i in [rng.integers(0, 300, 300)]]
+        plain.append(np.mean([m[1] for m in means]) / np.mean([m[0] for m in means]) - 1)
+    assert len(got) == 4000 and abs(got.std() / np.std(plain) - 1) < 0.08
+    assert np.allclose(np.percentile(got, [5, 50, 95]), np.percentile(plain, [5, 50, 95]), atol=0.1 * np.std(plain))
+    # One block is drawn from directly, and blocks' draws add up to the family's.
+    sizes = np.array([5, 1, 9, 30])
+    assert (sum(S.draws_of_block(1, "x", sizes, k, 50) for k in range(4)) == 45).all()
+    values = rng.random((7, 2))
+    sums = S.drawn_sums(np.random.default_rng(4), values, np.array([3, 0, 2]), most=4)
+    picked = np.random.default_rng(4)
+    for n, s in zip((3, 0, 2), sums, strict=True):
+        assert np.allclose(s, values[picked.integers(0, 7, n)].sum(axis=0))
+
+
+def test_relative_change_of_nothing(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(0.0, 0.0), (0.0, 2.0), (4.0, 5.0)], "a double, b double")
+    assert [r[0] for r in rows.select(S.relative(F.col("a"), F.col("b"))).collect()] == [0.0, float("inf"), 0.25]
