@@ -127,3 +127,53 @@ def blend_position(c: list[Column], a: list[Column], b: list[Column]) -> Column:
 
 def huber(z: Column, kappa: float) -> Column:
     return F.when(F.abs(z) <= kappa, z * z).otherwise(kappa * (2 * F.abs(z) - kappa))
+
+
+# Two grounds: a translucent colour is known by how it shows over white and over grey.
+
+GREY = 0.5
+# Names of greys by the lightness they exceed, and of hues by the degrees they stay under.
+GREY_NAMES = ((0.93, "white"), (0.72, "light-grey"), (0.42, "grey"), (0.18, "dark-grey"))
+HUE_NAMES = ((20, "red"), (45, "orange"), (70, "yellow"), (100, "olive"), (165, "green"), (200, "teal"), (240, "cyan"), (285, "blue"), (320, "purple"), (345, "magenta"))
+
+
+def colour_name(lightness: Column, a: Column, b: Column) -> Column:
+    """A basic word for an OKLab colour: greys by lightness, others by hue; dark reds and oranges are brown."""
+    grey = F
+    for least, name in GREY_NAMES:
+        grey = grey.when(lightness > least, name)
+    degrees = F.atan2(b, a) * (180 / math.pi)
+    hue = F.when(degrees < 0, degrees + 360).otherwise(degrees)
+    word = F
+    for most, name in HUE_NAMES:
+        word = word.when(hue < most, name)
+    word = word.otherwise("red")
+    word = F.when(word.isin("red", "orange") & (lightness < 0.5), "brown").otherwise(word)
+    return F.when(F.sqrt(a * a + b * b) < 0.03, grey.otherwise("black")).otherwise(word)
+
+
+def on_white(colour: Column, alpha: Column) -> Column:
+    """An encoded channel over white, mixed as it is stored."""
+    return colour * alpha + (1 - alpha)
+
+
+def on_grey(white: Column, alpha: Column) -> Column:
+    """The same channel over the second ground, from what it is over white."""
+    return F.greatest(white - (1 - F.least(F.greatest(alpha, F.lit(0.0)), F.lit(1.0))) * (1 - GREY), F.lit(0.0))
+
+
+def snap_alpha(alpha: Column) -> Column:
+    """Opacity in [0, 1], exactly 0 or 1 within measurement of either."""
+    held = F.least(F.greatest(alpha, F.lit(0.0)), F.lit(1.0))
+    return F.when(held > 0.995, 1.0).when(held < 0.005, 0.0).otherwise(held)
+
+
+def two_ground_alpha(white: list[Column], grey: list[Column]) -> Column:
+    """The opacity that the encoded channels over both grounds imply."""
+    apart = sum((w - k for w, k in zip(white, grey, strict=True)), F.lit(0.0)) / 3
+    return snap_alpha(1 - apart / (1 - GREY))
+
+
+def two_ground_distance(p: list[Column], q: list[Column]) -> Column:
+    """The larger of the distances over either ground; six OKLab coordinates each."""
+    return F.greatest(oklab_distance(p[:3], q[:3]), oklab_distance(p[3:], q[3:]))

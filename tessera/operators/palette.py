@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -181,3 +184,151 @@ def linear_fill(pixels: DataFrame) -> DataFrame:
     m = m.withColumns({"gx": (F.col("xv") * F.col("yy") - F.col("yv") * F.col("xy")) / safe, "gy": (F.col("yv") * F.col("xx") - F.col("xv") * F.col("xy")) / safe})
     left = F.greatest(F.col("vv") - F.col("gx") * F.col("xv") - F.col("gy") * F.col("yv"), F.lit(0.0)) * F.col("n")
     return m.select("image_id", "label", "n", F.round("gx", 6).alias("gx"), F.round("gy", 6).alias("gy"), F.round(F.col("mv") - F.col("gx") * F.col("mx") - F.col("gy") * F.col("my"), 6).alias("c"), F.round(left, 6).alias("sse"))
+
+
+def walked_palette(modes: DataFrame, merge: float, most: int) -> DataFrame:
+    """Inks of the fixed threshold: modes in order, each kept unless one before lies within `merge`: image_id, ink_id, rank, l, a, b.
+
+    A fold over the image's array of modes, which are cells of the colour cube, so bounded.
+    """
+    listed = modes.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("rank", "l", "a", "b"))).alias("modes"))
+
+    def near(i: Column, m: Column) -> Column:
+        return F.round(F.sqrt(sum(((i[x] - m[x]) * (i[x] - m[x]) for x in "lab"), F.lit(0.0))), 9) <= merge
+
+    kept = F.aggregate(
+        F.slice("modes", 2, F.greatest(F.size("modes"), F.lit(1))),
+        F.slice("modes", 1, F.least(F.lit(1), F.lit(most))),
+        lambda acc, m: F.when((F.size(acc) < most) & ~F.exists(acc, lambda i: near(i, m)), F.concat(acc, F.array(m))).otherwise(acc),
+    )
+    return listed.select("image_id", F.posexplode(kept).alias("ink_id", "i")).select("image_id", "ink_id", "i.rank", "i.l", "i.a", "i.b")
+
+
+def _distances(points: np.ndarray, inks: np.ndarray) -> np.ndarray:
+    return np.round(np.sqrt(((points[:, None, :] - inks[None, :, :]) ** 2).sum(axis=2)), 9)
+
+
+def claim_of(points: np.ndarray, candidate: np.ndarray, accepted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which points are strictly nearer the candidate than any accepted ink, and their distances to it."""
+    own = _distances(points, candidate[None, :])[:, 0]
+    return own < (_distances(points, accepted).min(axis=1) if len(accepted) else np.full(len(points), np.inf)), own
+
+
+def lower_median(values: np.ndarray) -> float:
+    return float(np.sort(values)[len(values) // 2]) if len(values) else 0.0
+
+
+def interior_share(claimed: np.ndarray) -> float:
+    """Share of the claimed pixels whose four neighbours are claimed; the outside counts as claimed."""
+    framed = np.pad(claimed, 1, constant_values=True)
+    inside = claimed & framed[:-2, 1:-1] & framed[2:, 1:-1] & framed[1:-1, :-2] & framed[1:-1, 2:]
+    return float(inside.sum() / claimed.sum()) if claimed.any() else 0.0
+
+
+def _by_image(lab: DataFrame, modes: DataFrame, kernel, schema: str) -> DataFrame:
+    """Rows of a kernel over each image's pixels (ordered by y, x) and modes (by rank)."""
+    info = modes.select(F.col("image_id").alias("i"), "rank", "n", *[F.col(c).alias(f"m{c}") for c in "lab"])
+
+    def run(pixels: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        pixels, own = pixels.sort_values(["y", "x"]), own.sort_values("rank")
+        return kernel(pixels, own) if len(pixels) and len(own) else pd.DataFrame({x.split()[0]: [] for x in schema.split(", ")})
+
+    return lab.groupBy("image_id").cogroup(info.groupBy("i")).applyInPandas(run, schema)
+
+
+def claims(lab: DataFrame, modes: DataFrame, reach: float, width: int, height: int) -> DataFrame:
+    """What each mode but the first would claim against those before it: image_id, rank, claim, spread (of members within `reach`), interior."""
+
+    def kernel(pixels: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        points, inks = pixels[["l", "a", "b"]].to_numpy(), own[["ml", "ma", "mb"]].to_numpy()
+        rows = []
+        for k in range(1, len(inks)):
+            claimed, d = claim_of(points, inks[k], inks[:k])
+            share = interior_share(claimed.reshape(height, width))
+            rows.append((pixels["image_id"].iloc[0], int(own["rank"].iloc[k]), int(claimed.sum()), lower_median(d[claimed & (d < reach)]), round(share, 6)))
+        return pd.DataFrame(rows, columns=["image_id", "rank", "claim", "spread", "interior"])
+
+    return _by_image(lab, modes, kernel, "image_id bigint, rank int, claim bigint, spread double, interior double")
+
+
+def mdl_walk(points: np.ndarray, modes: np.ndarray, merge: float, sigma: float, weight: float, floor: float, most: int, interior) -> list[int]:
+    """Which modes become inks: separated by `merge`, or else worth three parameters to keep apart, above the floor and with an inside."""
+    accepted: list[int] = []
+    for k in range(len(modes)):
+        if len(accepted) >= most:
+            break
+        inks = modes[accepted]
+        d = float(_distances(modes[k][None, :], inks).min()) if accepted else np.inf
+        if d <= merge:
+            claimed, _ = claim_of(points, modes[k], inks)
+            escape = sigma > 0 and d > floor and 0.5 * claimed.sum() * (d / sigma) ** 2 > weight * 3
+            if not escape or not interior(claimed):
+                continue
+        accepted.append(k)
+    return accepted
+
+
+def mdl_palette(lab: DataFrame, modes: DataFrame, merge: float, sigma: float, weight: float, floor: float, most: int, inside: float = 0.0) -> DataFrame:
+    """The walk with the escape, then each ink moved to the mean of the pixels that choose it: image_id, ink_id, rank, l, a, b, share."""
+
+    def kernel(pixels: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        points, inks = pixels[["l", "a", "b"]].to_numpy(), own[["ml", "ma", "mb"]].to_numpy()
+        width = int(pixels["x"].max()) + 1
+        kept = mdl_walk(points, inks, merge, sigma, weight, floor, most, lambda c: interior_share(c.reshape(-1, width)) > inside)
+        far = _distances(points, inks[kept])
+        chosen, near = far.argmin(axis=1), far.min(axis=1) <= merge
+        rows = []
+        for i, k in enumerate(kept):
+            mine = points[(chosen == i) & near]
+            centre = mine.mean(axis=0) if len(mine) else inks[k]
+            rows.append((pixels["image_id"].iloc[0], i, int(own["rank"].iloc[k]), *np.round(centre, 9), len(mine) / len(points)))
+        return pd.DataFrame(rows, columns=["image_id", "ink_id", "rank", "l", "a", "b", "share"])
+
+    return _by_image(lab, modes, kernel, "image_id bigint, ink_id int, rank int, l double, a double, b double, share double")
+
+
+def cielab(rgb: np.ndarray) -> np.ndarray:
+    linear = np.where(rgb <= 0.04045, rgb / 12.92, ((rgb + 0.055) / 1.055) ** 2.4)
+    t = linear @ np.array(C.TO_XYZ).T / np.array(C.WHITE)
+    f = np.where(t > (6 / 29) ** 3, np.cbrt(t), t / (3 * (6 / 29) ** 2) + 4 / 29)
+    return np.stack([116 * f[:, 1] - 16, 500 * (f[:, 0] - f[:, 1]), 200 * (f[:, 1] - f[:, 2])], axis=1)
+
+
+def colour_difference(lab: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """CIEDE2000 of one CIELAB colour and each of others, over arrays."""
+    mean = (np.hypot(lab[1], lab[2]) + np.hypot(other[:, 1], other[:, 2])) / 2
+
+    def bend(c: np.ndarray) -> np.ndarray:
+        return np.sqrt(c**7 / (c**7 + 25.0**7))
+
+    grow = 1.5 - 0.5 * bend(mean)
+    a1, a2, b1, b2 = lab[1] * grow, other[:, 1] * grow, lab[2], other[:, 2]
+    c1, c2 = np.hypot(a1, b1), np.hypot(a2, b2)
+    h1, h2 = np.degrees(np.arctan2(b1, a1)) % 360, np.degrees(np.arctan2(b2, a2)) % 360
+    grey = c1 * c2 == 0
+    turn = np.where(grey, 0, (h2 - h1 + 180) % 360 - 180)
+    turn = np.where(~grey & (h2 - h1 == 180), 180, turn)
+    total = h1 + h2
+    hue = np.where(grey, total, np.where(np.abs(h1 - h2) <= 180, total / 2, np.where(total < 360, total / 2 + 180, total / 2 - 180)))
+    light, chroma = (lab[0] + other[:, 0]) / 2, (c1 + c2) / 2
+    wave = 1 - 0.17 * np.cos(np.radians(hue - 30)) + 0.24 * np.cos(np.radians(2 * hue)) + 0.32 * np.cos(np.radians(3 * hue + 6)) - 0.2 * np.cos(np.radians(4 * hue - 63))
+    x = (other[:, 0] - lab[0]) / (1 + 0.015 * (light - 50) ** 2 / np.sqrt(20 + (light - 50) ** 2))
+    y = (c2 - c1) / (1 + 0.045 * chroma)
+    z = 2 * np.sqrt(c1 * c2) * np.sin(np.radians(turn / 2)) / (1 + 0.015 * chroma * wave)
+    twist = -2 * bend(chroma) * np.sin(np.radians(60 * np.exp(-(((hue - 275) / 25) ** 2))))
+    return np.sqrt(np.maximum(x * x + y * y + z * z + twist * y * z, 0))
+
+
+def palette_size(rgb: np.ndarray, tolerance: float, most: int = 4000) -> int:
+    """Colours told apart by more than a tolerance: the distinct 8-bit colours in order, each counted unless near one before.
+
+    Over `most` distinct colours are far past any palette, and are the count themselves.
+    """
+    distinct = np.unique(np.floor(np.round(rgb * 255, 9)).astype(np.uint8), axis=0)
+    if len(distinct) > most:
+        return len(distinct)
+    lab, kept = cielab(distinct / 255), []
+    for c in lab:
+        if not kept or colour_difference(c, np.array(kept)).min() > tolerance:
+            kept.append(c)
+    return len(kept)

@@ -7,6 +7,7 @@ import pytest
 
 from tessera.operators import dense as D
 from tessera.operators import geometry as G
+from tessera.operators import palette as P
 from tessera.operators import regions as R
 from tessera.operators import statistics as S
 from tessera.plans import raster
@@ -237,3 +238,30 @@ def test_relative_change_of_nothing(spark):
 
     rows = spark.createDataFrame([(0.0, 0.0), (0.0, 2.0), (4.0, 5.0)], "a double, b double")
     assert [r[0] for r in rows.select(S.relative(F.col("a"), F.col("b"))).collect()] == [0.0, float("inf"), 0.25]
+
+
+def test_palettes(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.functions import colour as C
+
+    rng = np.random.default_rng(8)
+    rgb = rng.random((40, 3))
+    lab = P.cielab(rgb)
+    rows = spark.createDataFrame([(i, *map(float, c)) for i, c in enumerate(rgb)], "i int, r double, g double, b double").orderBy("i")
+    assert np.allclose([list(r) for r in rows.select(*C.srgb_to_cielab(F.col("r"), F.col("g"), F.col("b"))).collect()], lab)
+    pairs = spark.createDataFrame([(i, *map(float, p), *map(float, q)) for i, (p, q) in enumerate(zip(lab, lab[::-1], strict=True))], "i int, l double, a double, b double, m double, c double, d double")
+    want = [r[0] for r in pairs.orderBy("i").select(C.ciede2000([F.col(c) for c in "lab"], [F.col(c) for c in "mcd"])).collect()]
+    assert np.allclose([P.colour_difference(lab[i], lab[39 - i][None])[0] for i in range(40)], want)
+    # Greys and near copies: counted once each.
+    colours = np.array([[0, 0, 0], [0.003, 0.003, 0.003], [1, 1, 1], [0.5, 0.2, 0.2], [0.502, 0.2, 0.2], [0.2, 0.5, 0.2]])
+    assert P.palette_size(colours, 2.0) == 4 and P.palette_size(colours, 0.0) == 5 and P.palette_size(colours, 2.0, most=3) == 5
+
+    points = np.concatenate([rng.normal(c, 0.004, (50, 3)) for c in ([0.2, 0, 0], [0.24, 0, 0], [0.9, 0, 0])])
+    modes = np.array([[0.2, 0, 0], [0.24, 0, 0], [0.9, 0, 0], [0.205, 0, 0]])
+    always = lambda claimed: True
+    assert P.mdl_walk(points, modes, 0.1, 0.0, 4.0, 0.012, 16, always) == [0, 2]  # no noise, no escape
+    assert P.mdl_walk(points, modes, 0.1, 0.01, 4.0, 0.012, 16, always) == [0, 1, 2]
+    assert P.mdl_walk(points, modes, 0.1, 0.01, 4.0, 0.012, 16, lambda c: False) == [0, 2]
+    assert P.mdl_walk(points, modes, 0.1, 0.01, 4.0, 0.001, 16, always) == [0, 1, 2, 3] or P.mdl_walk(points, modes, 0.1, 0.01, 4.0, 0.001, 2, always) == [0, 1]
+    assert P.interior_share(np.ones((3, 3), bool)) == 1 and P.interior_share(np.eye(3, dtype=bool)) == 0 and P.lower_median(np.array([3.0, 1.0, 2.0, 9.0])) == 3.0
