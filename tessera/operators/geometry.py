@@ -261,3 +261,128 @@ def clustered(rows: DataFrame, by: str, value: str, penalty: float) -> DataFrame
     return rows.select(by, value).groupBy(by).applyInPandas(run, f"{by} {kind}, n bigint, clusters bigint, starts string")
 
 
+
+
+def axis_share(points: DataFrame, tolerance: float) -> DataFrame:
+    """Share of each line's length in steps within a tolerance (a sine) of an axis: line_id, share."""
+    dx, dy = F.col("nx") - F.col("x"), F.col("ny") - F.col("y")
+    steps = segments(points).select("line_id", dx.alias("dx"), dy.alias("dy"), F.sqrt(dx * dx + dy * dy).alias("n")).filter("n >= 1e-9")
+    aligned = (F.abs("dx") < tolerance * F.col("n")) | (F.abs("dy") < tolerance * F.col("n"))
+    return steps.groupBy("line_id").agg(F.round(F.sum(F.when(aligned, F.col("n")).otherwise(0.0)) / F.sum("n"), 6).alias("share"))
+
+
+def spikes(points: DataFrame, sharp: float, arm: float) -> DataFrame:
+    """Points where a line turns back by more than `sharp` degrees on an arm longer than `arm`: line_id, seq, turn, before, after."""
+    steps = points.select("line_id", "seq", *[(F.col(c) - F.lag(c).over(_along())).alias(f"u{c}") for c in "xy"], *[(F.lead(c).over(_along()) - F.col(c)).alias(f"v{c}") for c in "xy"])
+    steps = steps.filter("ux IS NOT NULL AND vx IS NOT NULL").withColumns({"lu": F.sqrt(F.col("ux") ** 2 + F.col("uy") ** 2), "lv": F.sqrt(F.col("vx") ** 2 + F.col("vy") ** 2)}).filter("lu >= 1e-6 AND lv >= 1e-6")
+    cosine = (F.col("ux") * F.col("vx") + F.col("uy") * F.col("vy")) / (F.col("lu") * F.col("lv"))
+    turn = F.round(F.degrees(F.acos(F.least(F.greatest(cosine, F.lit(-1.0)), F.lit(1.0)))), 6)
+    found = steps.select("line_id", "seq", turn.alias("turn"), F.round("lu", 6).alias("before"), F.round("lv", 6).alias("after"))
+    return found.filter((F.col("turn") > sharp) & (F.greatest("before", "after") > arm))
+
+
+def exact_predicates(points: DataFrame) -> DataFrame:
+    """Of whole-number points: the sign of the turn at the next two, and whether the fourth lies in the circle of the three.
+
+    Products are decimals of 38 digits, so no sign is lost; differences may have nine digits.
+    """
+    ahead = points.select("line_id", "seq", *[(F.lead(c, k).over(_along()) if k else F.col(c)).cast("decimal(10,0)").alias(f"{c}{k}") for k in range(4) for c in "xy"]).filter("x3 IS NOT NULL")
+
+    def minus(a: str, b: str) -> Column:
+        return (F.col(a) - F.col(b)).cast("decimal(10,0)")
+
+    def cross(p: tuple[Column, Column], q: tuple[Column, Column]) -> Column:
+        return (p[0] * q[1] - p[1] * q[0]).cast("decimal(19,0)")
+
+    o = cross((minus("x1", "x0"), minus("y1", "y0")), (minus("x2", "x0"), minus("y2", "y0")))
+    a, b, c = ((minus(f"x{k}", "x3"), minus(f"y{k}", "y3")) for k in range(3))
+
+    def square(p: tuple[Column, Column]) -> Column:
+        return (p[0] * p[0] + p[1] * p[1]).cast("decimal(18,0)")
+
+    circle = square(a) * cross(b, c) - square(b) * cross(a, c) + square(c) * cross(a, b)
+    return ahead.select("line_id", "seq", F.signum(o).cast("int").alias("orientation"), F.signum(circle).cast("int").alias("in_circle"))
+
+
+def second_moments(points: DataFrame) -> DataFrame:
+    """Moments of area of each closed line about the origin: line_id, xx, yy, xy."""
+    whole = Window.partitionBy("line_id")
+    ring = points.withColumns({f"n{c}": F.coalesce(F.lead(c).over(_along()), F.min_by(c, "seq").over(whole)) for c in "xy"})
+    x, y, nx, ny = (F.col(c) for c in ("x", "y", "nx", "ny"))
+    c = x * ny - nx * y
+    sums = ring.groupBy("line_id").agg((F.sum(c * (x * x + x * nx + nx * nx)) / 12).alias("xx"), (F.sum(c * (y * y + y * ny + ny * ny)) / 12).alias("yy"), (F.sum(c * (x * ny + 2 * x * y + 2 * nx * ny + nx * y)) / 24).alias("xy"))
+    return sums.select("line_id", *[F.round(k, 2).alias(k) for k in ("xx", "yy", "xy")])
+
+
+def triangle_cover(points: DataFrame, width: int, height: int) -> DataFrame:
+    """The pixel coverage of each triangle of three points in a row, added up: line_id, seq, covered."""
+    from tessera.operators.dense import clipped_cover
+
+    corners = points.select("line_id", "seq", "x", "y", *[F.lead(c, k).over(_along()).alias(f"{c}{k}") for k in (1, 2) for c in "xy"]).filter("x2 IS NOT NULL")
+
+    @F.pandas_udf("double")
+    def covered(x: pd.Series, y: pd.Series, x1: pd.Series, y1: pd.Series, x2: pd.Series, y2: pd.Series) -> pd.Series:
+        rows = np.stack([x, y, x1, y1, x2, y2], axis=1).reshape(-1, 3, 2)
+        return pd.Series([round(float(clipped_cover(t, width, height).sum()), 6) for t in rows])
+
+    return corners.select("line_id", "seq", covered("x", "y", "x1", "y1", "x2", "y2").alias("covered"))
+
+
+def _joined_spans(spans: DataFrame) -> DataFrame:
+    return span_algebra(spans.withColumn("side", F.lit(0)), "union")
+
+
+def span_dilate(spans: DataFrame, reach: int) -> DataFrame:
+    """Spans wider by `reach` at either end, joined where they meet: region_id, lo, hi."""
+    return _joined_spans(spans.withColumns({"lo": F.col("lo") - reach, "hi": F.col("hi") + reach}))
+
+
+def span_erode(spans: DataFrame, reach: int) -> DataFrame:
+    """Joined spans narrower by `reach` at either end; those that vanish go."""
+    return _joined_spans(spans).select("region_id", (F.col("lo") + reach).alias("lo"), (F.col("hi") - reach).alias("hi")).filter("hi > lo")
+
+
+def span_overdraw(spans: DataFrame) -> DataFrame:
+    """Of each region the covered length, its bounds, and the drawn length over the covered one."""
+    net = span_algebra(spans, "union").groupBy("region_id").agg(F.sum(F.col("hi") - F.col("lo")).alias("area"))
+    drawn = spans.groupBy("region_id").agg(F.sum(F.col("hi") - F.col("lo")).alias("drawn"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return net.join(drawn, "region_id").select("region_id", "area", "lo", "hi", F.round(F.col("drawn") / F.col("area"), 6).alias("overdraw"))
+
+
+def machine_moves(points: DataFrame) -> DataFrame:
+    """Each line as moves of a tool: line_id, moves."""
+    at = [F.floor(F.col(c) * 1000 + 0.5) / 1000 for c in "xy"]
+    move = F.format_string("%s X%.3f Y%.3f", F.when(F.col("seq") == 1, "G0").otherwise("G1"), *at)
+    rows = points.groupBy("line_id").agg(F.sort_array(F.collect_list(F.struct("seq", move.alias("m")))).alias("ms"))
+    return rows.select("line_id", F.array_join(F.transform("ms", lambda m: m["m"]), "\n").alias("moves"))
+
+
+def kept_points(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
+    """Indices that the farthest-point rule keeps: a stretch is split at the point farthest from its chord while that is over the tolerance."""
+    n = len(x)
+    keep = np.zeros(n, bool)
+    keep[[0, -1]] = True
+    todo = [(0, n - 1)]
+    while todo:
+        a, b = todo.pop()
+        if b - a < 2:
+            continue
+        px, py, dx, dy = x[a + 1 : b] - x[a], y[a + 1 : b] - y[a], x[b] - x[a], y[b] - y[a]
+        length = dx * dx + dy * dy
+        t = np.clip((px * dx + py * dy) / length, 0, 1) if length > 0 else np.zeros(b - a - 1)
+        d = np.hypot(px - t * dx, py - t * dy)
+        far = int(d.argmax())
+        if d[far] > tolerance:
+            keep[a + 1 + far] = True
+            todo += [(a, a + 1 + far), (a + 1 + far, b)]
+    return np.flatnonzero(keep)
+
+
+def simplified(points: DataFrame, tolerance: float) -> DataFrame:
+    """Each line's points that `kept_points` keeps: line_id, seq, x, y. A line meets in one task."""
+
+    def run(line: pd.DataFrame) -> pd.DataFrame:
+        line = line.sort_values("seq")
+        return line.iloc[kept_points(line["x"].to_numpy(), line["y"].to_numpy(), tolerance)]
+
+    return points.select("line_id", "seq", "x", "y").groupBy("line_id").applyInPandas(run, "line_id bigint, seq int, x double, y double")

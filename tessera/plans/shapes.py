@@ -123,3 +123,81 @@ def optimal_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ties_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact clusters of each tile's values; tests compare them with all partitions."""
     return G.clustered(tile_pixels(spark, sf_dir), "image_id", "v", 0.05)
+
+
+def _is_axis(dx: str, dy: str) -> str:
+    return f"abs({dx}) < 0.0175 * sqrt({dx} * {dx} + {dy} * {dy}) OR abs({dy}) < 0.0175 * sqrt({dx} * {dx} + {dy} * {dy})"
+
+
+@register("axis_share", f"WITH {SG_SQL}, d AS (SELECT line_id, nx - x AS dx, ny - y AS dy FROM sg), n AS (SELECT *, sqrt(dx * dx + dy * dy) AS n FROM d) SELECT line_id, round(coalesce(sum(n) FILTER (WHERE {_is_axis('dx', 'dy')}), 0) / sum(n), 6) AS share FROM n WHERE n >= 1e-9 GROUP BY 1")
+def axis_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.axis_share(polylines(spark, sf_dir), 0.0175)
+
+
+@register("spikes", f"WITH {PL_SQL}, t AS (SELECT line_id, seq, x - lag(x) OVER w AS ux, y - lag(y) OVER w AS uy, lead(x) OVER w - x AS vx, lead(y) OVER w - y AS vy FROM pl WINDOW w AS (PARTITION BY line_id ORDER BY seq)), l AS (SELECT *, sqrt(ux * ux + uy * uy) AS lu, sqrt(vx * vx + vy * vy) AS lv FROM t WHERE ux IS NOT NULL AND vx IS NOT NULL), a AS (SELECT line_id, seq, round(degrees(acos(least(greatest((ux * vx + uy * vy) / (lu * lv), -1), 1))), 6) AS turn, round(lu, 6) AS before, round(lv, 6) AS after FROM l WHERE lu >= 1e-6 AND lv >= 1e-6) SELECT * FROM a WHERE turn > 179 AND greatest(before, after) > 5")
+def spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.spikes(polylines(spark, sf_dir), 179.0, 5.0)
+
+
+GRID_SQL = PL_SQL + ", gp AS (SELECT line_id, seq, CAST(floor(x * 1000000) AS HUGEINT) AS x, CAST(floor(y * 1000) AS HUGEINT) AS y FROM pl)"
+
+
+def _lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = polylines(spark, sf_dir)
+    return p.select("line_id", "seq", F.floor(F.col("x") * 1_000_000).alias("x"), F.floor(F.col("y") * 1000).alias("y"))
+
+
+@register(
+    "exact_predicates",
+    f"""WITH {GRID_SQL}, w AS (SELECT line_id, seq, x, y, lead(x, 1) OVER w AS bx, lead(y, 1) OVER w AS by_, lead(x, 2) OVER w AS cx, lead(y, 2) OVER w AS cy, lead(x, 3) OVER w AS dx, lead(y, 3) OVER w AS dy FROM gp WINDOW w AS (PARTITION BY line_id ORDER BY seq)),
+r AS (SELECT line_id, seq, x - dx AS ax, y - dy AS ay, bx - dx AS bx, by_ - dy AS by_, cx - dx AS cx, cy - dy AS cy, (bx - x) * (cy - y) - (by_ - y) * (cx - x) AS o FROM w WHERE dx IS NOT NULL)
+SELECT line_id, seq, CAST(sign(o) AS INT) AS orientation, CAST(sign((ax * ax + ay * ay) * (bx * cy - cx * by_) - (bx * bx + by_ * by_) * (ax * cy - cx * ay) + (cx * cx + cy * cy) * (ax * by_ - bx * ay)) AS INT) AS in_circle FROM r""",
+)
+def exact_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signs without rounding: which way three points turn, and whether the fourth lies in their circle."""
+    return G.exact_predicates(_lattice(spark, sf_dir))
+
+
+@register(
+    "second_moments",
+    f"""WITH {RING_SQL}, s AS (SELECT line_id, sum((x * ny - nx * y) * (x * x + x * nx + nx * nx)) / 12 AS xx, sum((x * ny - nx * y) * (y * y + y * ny + ny * ny)) / 12 AS yy, sum((x * ny - nx * y) * (x * ny + 2 * x * y + 2 * nx * ny + nx * y)) / 24 AS xy FROM rg GROUP BY 1)
+SELECT line_id, round(xx, 2) AS xx, round(yy, 2) AS yy, round(xy, 2) AS xy FROM s""",
+)
+def second_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.second_moments(polylines(spark, sf_dir))
+
+
+@register("triangle_cover", f"WITH {PL_SQL}, m AS (SELECT line_id, seq, x - 4 * floor(x / 4) AS x, y - 4 * floor(y / 4) AS y FROM pl), t AS (SELECT line_id, seq, x, y, lead(x, 1) OVER w AS bx, lead(y, 1) OVER w AS by_, lead(x, 2) OVER w AS cx, lead(y, 2) OVER w AS cy FROM m WINDOW w AS (PARTITION BY line_id ORDER BY seq)) SELECT line_id, seq, round(abs((bx - x) * (cy - y) - (by_ - y) * (cx - x)) / 2, 6) AS covered FROM t WHERE cx IS NOT NULL")
+def triangle_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixel coverage of every three points in a row, folded to four by four pixels; it adds up to the triangle's area."""
+    m = polylines(spark, sf_dir).select("line_id", "seq", *[(F.col(c) - 4 * F.floor(F.col(c) / 4)).alias(c) for c in "xy"])
+    return G.triangle_cover(m, 4, 4)
+
+
+@register("span_dilate", _span_sql("a = 1").replace("unnest(range(lo, hi))", "unnest(range(lo - 5, hi + 5))"))
+def span_dilate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first side's spans, each wider by five days at either end, joined."""
+    return G.span_dilate(order_spans(spark, sf_dir).filter("side = 0"), 5)
+
+
+@register("span_erode", f"WITH u AS ({_span_sql('a = 1')}) SELECT region_id, CAST(lo + 5 AS INT) AS lo, CAST(hi - 5 AS INT) AS hi FROM u WHERE hi - 5 > lo + 5")
+def span_erode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.span_erode(order_spans(spark, sf_dir).filter("side = 0"), 5)
+
+
+@register("span_overdraw", f"WITH u AS ({_span_sql('a = 1 OR b = 1')}), {SP_SQL.strip()}, t AS (SELECT region_id, sum(hi - lo) AS drawn, min(lo) AS lo, max(hi) AS hi FROM sp GROUP BY 1), n AS (SELECT region_id, sum(hi - lo) AS net FROM u GROUP BY 1) SELECT region_id, CAST(net AS BIGINT) AS area, lo, hi, round(drawn / net, 6) AS overdraw FROM t JOIN n USING (region_id)")
+def span_overdraw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Area, bounds, and how often each covered day is drawn over."""
+    return G.span_overdraw(order_spans(spark, sf_dir))
+
+
+@register("machine_moves", f"WITH {PL_SQL}, g AS (SELECT line_id, string_agg(CASE WHEN seq = 1 THEN 'G0' ELSE 'G1' END || printf(' X%.3f Y%.3f', floor(x * 1000 + 0.5) / 1000, floor(y * 1000 + 0.5) / 1000), chr(10) ORDER BY seq) AS moves FROM pl GROUP BY 1) SELECT line_id, moves FROM g")
+def machine_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line as a tool's moves: one rapid, then feeds."""
+    return G.machine_moves(polylines(spark, sf_dir))
+
+
+@register("simplified_lines")
+def simplified_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points that a tolerance keeps; tests compare with the recursion."""
+    return G.simplified(polylines(spark, sf_dir), 20.0)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators import paths
 from tessera.operators import regions as R
 from tessera.operators import svgtext as S
 from tessera.plans.registry import register
@@ -75,3 +76,48 @@ def options_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = read(spark, sf_dir, "events").select("event_id", text.alias("options"))
     return S.options_validated(rows).select("event_id", "values.precision", "values.colors", "problem")
+
+
+MIX_SQL = PL_SQL + """,
+ip AS (SELECT line_id, seq, 3.0::DOUBLE * seq AS x, round(y) AS y FROM pl),
+iv AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM ip WINDOW w AS (PARTITION BY line_id ORDER BY seq)),
+is_ AS (SELECT line_id, seq, 0 AS part, 'line' AS kind, px AS x0, py AS y0, NULL::DOUBLE AS x1, NULL::DOUBLE AS y1, NULL::DOUBLE AS x2, NULL::DOUBLE AS y2, x, CASE WHEN seq % 4 = 3 THEN py ELSE y END AS y FROM iv WHERE seq > 1 AND seq % 4 <> 0
+  UNION ALL SELECT line_id, seq, 1, 'line', x, py, NULL, NULL, NULL, NULL, x, y FROM iv WHERE seq > 1 AND seq % 4 = 3 AND py <> y
+  UNION ALL SELECT line_id, seq, 0, 'cubic', px, py, px, round(py + 2 / 3.0::DOUBLE * (y - py), 6), round(x + 2 / 3.0::DOUBLE * (px - x), 6), y, x, y FROM iv WHERE seq > 1 AND seq % 4 = 0)"""
+SEGMENTS_SQL = f"WITH {MIX_SQL} SELECT line_id, CAST(0 AS INT) AS subpath, CAST(row_number() OVER (PARTITION BY line_id ORDER BY seq, part) - 1 AS INT) AS seq, kind, x0, y0, x1, y1, x2, y2, x, y, FALSE AS closed FROM is_"
+
+
+def mixed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """line_id, d: lines in whole numbers whose steps take turns as L, l, H and V, and Q."""
+    from pyspark.sql import Window
+
+    p = polylines(spark, sf_dir).select("line_id", "seq", (3.0 * F.col("seq")).alias("x"), F.round("y").alias("y"))
+    order = Window.partitionBy("line_id").orderBy("seq")
+    p = p.withColumns({"px": F.lag("x").over(order), "py": F.lag("y").over(order)})
+    whole = [F.col(c).cast("long").cast("string") for c in ("x", "y", "px")]
+    step = (
+        F.when(F.col("seq") == 1, F.concat(F.lit("M"), whole[0], F.lit(" "), whole[1]))
+        .when(F.col("seq") % 4 == 1, F.concat(F.lit("L"), whole[0], F.lit(","), whole[1]))
+        .when(F.col("seq") % 4 == 2, F.concat(F.lit(" l"), (F.col("x") - F.col("px")).cast("long"), F.lit(" "), (F.col("y") - F.col("py")).cast("long")))
+        .when(F.col("seq") % 4 == 3, F.concat(F.lit("H"), whole[0], F.lit("V"), whole[1]))
+        .otherwise(F.concat(F.lit("Q"), whole[2], F.lit(" "), whole[1], F.lit(" "), whole[0], F.lit(" "), whole[1]))
+    )
+    steps = p.groupBy("line_id").agg(F.sort_array(F.collect_list(F.struct("seq", step.alias("s")))).alias("ss"))
+    return steps.select("line_id", F.array_join(F.transform("ss", lambda s: s["s"]), "").alias("d"))
+
+
+@register("path_segments", SEGMENTS_SQL)
+def path_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paths.segment_rows(mixed_paths(spark, sf_dir))
+
+
+@register("path_rewritten", SEGMENTS_SQL.replace("round(py + 2 / 3.0::DOUBLE * (y - py), 6)", "round(round(py + 2 / 3.0::DOUBLE * (y - py), 6), 2)").replace("round(x + 2 / 3.0::DOUBLE * (px - x), 6)", "round(round(x + 2 / 3.0::DOUBLE * (px - x), 6), 2)"))
+def path_rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same segments, read from what the writer of few bytes makes of them."""
+    return paths.segment_rows(mixed_paths(spark, sf_dir), rewritten=True)
+
+
+@register("paths_minified")
+def paths_minified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Path data in few bytes; tests read it back."""
+    return paths.minified(mixed_paths(spark, sf_dir))
