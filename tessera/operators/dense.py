@@ -42,9 +42,9 @@ def _coordinates(grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x.ravel(), y.ravel()
 
 
-def cells(grid: np.ndarray, digits: int = 9) -> tuple:
-    """x, y and the rounded value of every pixel."""
-    return (*_coordinates(grid), np.round(grid.ravel(), digits))
+def cells(grid: np.ndarray, digits: int | None = 9) -> tuple:
+    """x, y and the value of every pixel, rounded if digits are given."""
+    return (*_coordinates(grid), grid.ravel() if digits is None else np.round(grid.ravel(), digits))
 
 
 # Resampling

@@ -203,3 +203,26 @@ def pivot_metrics(rows: DataFrame, key: str, name: str, value: str, names: list[
 
 def sweep_constant(rows: DataFrame, constant: str, metric: str) -> DataFrame:
     return rows.groupBy(constant).agg(F.round(F.percentile(metric, 0.5), 6).alias("median"), F.count(F.lit(1)).alias("n"))
+
+
+def without_errors(cells: DataFrame, error: str = "error") -> DataFrame:
+    """Cells whose error is null or empty."""
+    return cells.filter(F.col(error).isNull() | (F.col(error) == ""))
+
+
+def ratchet_rules(budget: DataFrame, floor: float) -> DataFrame:
+    """Whether each key's figure keeps its rule (max, min or floor), and whether the budget can be tightened to it.
+
+    key, rule, base, now. A key without a base is new and passes; one without a figure is gone and fails.
+    """
+    base, now, rule = F.col("base"), F.col("now"), F.col("rule")
+    kept = F.when(rule == "max", now <= base).when(rule == "min", now >= base).otherwise(now >= floor)
+    tighter = F.when(rule == "max", now < base).when(rule == "min", now > base).otherwise(False)
+    passed = F.when(now.isNull(), False).when(base.isNull() & (rule != "floor"), True).otherwise(kept)
+    return budget.withColumns({"passed": passed, "tightened": F.coalesce(tighter, F.lit(False))})
+
+
+def csv_line(values: list[Column]) -> Column:
+    """Text values as one line of CSV."""
+    quoted = [F.when(v.rlike('[",\n\r]'), F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(v) for v in values]
+    return F.concat_ws(",", *[F.coalesce(q, F.lit("")) for q in quoted])

@@ -310,3 +310,18 @@ def potts_energy(pixels: DataFrame, beta: float) -> DataFrame:
     data = pixels.withColumn("d", F.col("v") - mean).groupBy("image_id").agg(F.sum(F.col("d") * F.col("d")).alias("data"))
     sides = _sides(pixels).groupBy("image_id").agg(F.sum((F.col("p") != F.col("q")).cast("long")).alias("sides"))
     return data.join(sides, "image_id").select("image_id", F.round("data", 6).alias("data"), "sides", F.round(F.col("data") + beta * F.col("sides"), 6).alias("energy"))
+
+
+def area_between(labels: DataFrame, other: DataFrame) -> DataFrame:
+    """image_id, geom, geom_far: differing pixels over the boundary length of `labels`, all and those over a pixel (by sides) from its edges."""
+
+    def near(flag: Column) -> Column:
+        return F.greatest(flag, *[F.coalesce(f(flag).over(w), F.lit(0)) for f in (F.lag, F.lead) for w in (_row(), _column())])
+
+    sides = [F.coalesce((f("label").over(w) != F.col("label")).cast("int"), F.lit(0)) for f in (F.lag, F.lead) for w in (_row(), _column())]
+    edged = labels.withColumn("edge", F.greatest(*sides))
+    edged = edged.withColumn("near", near(F.col("edge")))
+    joined = edged.join(other.withColumnRenamed("label", "other"), ["image_id", "x", "y"]).withColumn("miss", (F.col("label") != F.col("other")).cast("int"))
+    sums = joined.groupBy("image_id").agg(F.sum("miss").alias("miss"), F.sum(F.col("miss") * (1 - F.col("near"))).alias("far"))
+    both = sums.join(boundary_length(labels), "image_id").filter("length > 0")
+    return both.select("image_id", F.round(F.col("miss") / F.col("length"), 6).alias("geom"), F.round(F.col("far") / F.col("length"), 6).alias("geom_far"))

@@ -173,3 +173,51 @@ def metrics_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("sweep_constant", f"{SC} SELECT seconds, round(median(cost), 6) AS median, count(*) AS n FROM sc GROUP BY 1")
 def sweep_constant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.sweep_constant(scores(spark, sf_dir), "seconds", "cost")
+
+
+# A cell fails where its line number is six or more, with the reason in words.
+FAIL_SQL = SC_SQL + ", fc AS (SELECT *, CASE WHEN perturbation >= 6 THEN 'timed out after ' || perturbation WHEN perturbation = 5 THEN '' END AS error FROM sc)"
+
+
+def cells_with_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    late = F.concat(F.lit("timed out after "), F.col("perturbation").cast("string"))
+    return scores(spark, sf_dir).withColumn("error", F.when(F.col("perturbation") >= 6, late).when(F.col("perturbation") == 5, ""))
+
+
+@register("error_filter", f"WITH {FAIL_SQL} SELECT runner, setting, count(*) AS cells, count(*) FILTER (WHERE error IS NULL OR error = '') AS good, round(avg(quality) FILTER (WHERE error IS NULL OR error = ''), 6) AS quality FROM fc GROUP BY 1, 2")
+def error_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = cells_with_errors(spark, sf_dir)
+    good = E.without_errors(cells).groupBy("runner", "setting").agg(F.count(F.lit(1)).alias("good"), F.round(F.avg("quality"), 6).alias("quality"))
+    return cells.groupBy("runner", "setting").agg(F.count(F.lit(1)).alias("cells")).join(good, ["runner", "setting"])
+
+
+@register("means_by_class", f"WITH {FAIL_SQL} SELECT family, CASE WHEN quality < 15 THEN 'low' WHEN quality < 35 THEN 'middle' ELSE 'high' END AS class, count(*) AS n, round(avg(cost) FILTER (WHERE error IS NULL OR error = ''), 4) AS cost FROM fc GROUP BY 1, 2")
+def means_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of each family and class, and means over what did not fail."""
+    group = F.when(F.col("quality") < 15, "low").when(F.col("quality") < 35, "middle").otherwise("high")
+    good = F.col("error").isNull() | (F.col("error") == "")
+    return cells_with_errors(spark, sf_dir).groupBy("family", group.alias("class")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(good, F.col("cost"))), 4).alias("cost"))
+
+
+RULES_SQL = SC_SQL + """,
+bl AS (SELECT family AS key, CASE length(family) % 3 WHEN 0 THEN 'max' WHEN 1 THEN 'min' ELSE 'floor' END AS rule, round(avg(seconds) FILTER (WHERE setting = 'F'), 6) AS base, round(avg(seconds) FILTER (WHERE setting = 'O'), 6) AS now FROM sc GROUP BY 1, 2)"""
+
+
+@register(
+    "ratchet_rules",
+    f"""WITH {RULES_SQL} SELECT key, rule, base, now, CASE rule WHEN 'max' THEN now <= base WHEN 'min' THEN now >= base ELSE now >= 0.05 END AS passed,
+  CASE rule WHEN 'max' THEN now < base WHEN 'min' THEN now > base ELSE FALSE END AS tightened FROM bl""",
+)
+def ratchet_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each family's figure against its budget under a rule: at most, at least, or over a floor."""
+    rule = F.element_at(F.array(F.lit("max"), F.lit("min"), F.lit("floor")), F.length("family") % 3 + 1)
+    sides = [F.round(F.avg(F.when(F.col("setting") == s, F.col("seconds"))), 6).alias(n) for s, n in (("F", "base"), ("O", "now"))]
+    return E.ratchet_rules(scores(spark, sf_dir).groupBy(F.col("family").alias("key"), rule.alias("rule")).agg(*sides), 0.05)
+
+
+@register("batch_csv", "SELECT o_orderkey, o_orderkey || ',\"' || replace(o_orderstatus || '\"' || o_orderpriority, '\"', '\"\"') || '\",' || CASE WHEN o_custkey % 5 = 0 THEN '' ELSE CAST(o_custkey AS VARCHAR) END AS line FROM orders")
+def batch_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queue rows as lines of CSV: quoted where they hold a quote, comma or line end, empty for null."""
+    o = read(spark, sf_dir, "orders")
+    columns = [F.col("o_orderkey").cast("string"), F.concat("o_orderstatus", F.lit('"'), "o_orderpriority"), F.when(F.col("o_custkey") % 5 != 0, F.col("o_custkey").cast("string"))]
+    return o.select("o_orderkey", E.csv_line(columns).alias("line"))

@@ -201,3 +201,16 @@ def thinning_round(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("potts_energy", f"WITH {LB_SQL}, pv AS (SELECT px.*, label FROM px JOIN lb USING (image_id, x, y)), dv AS (SELECT image_id, v - avg(v) OVER (PARTITION BY image_id, label) AS d FROM pv), da AS (SELECT image_id, sum(d * d) AS data FROM dv GROUP BY 1), sd AS ({SIDES_SQL}), ss AS (SELECT image_id, count(*) FILTER (WHERE p <> q) AS sides FROM sd GROUP BY 1) SELECT image_id, round(data, 6) AS data, sides, round(data + 0.01::DOUBLE * sides, 6) AS energy FROM da JOIN ss USING (image_id)")
 def potts_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.potts_energy(tile_pixels(spark, sf_dir).withColumn("label", label_of()), 0.01)
+
+
+@register(
+    "area_between_maps",
+    f"""WITH {LB2_SQL}, ms AS (SELECT a.image_id, a.x, a.y, (a.label <> b.label)::INT AS miss FROM lb a JOIN lb2 b USING (image_id, x, y)),
+nr AS (SELECT DISTINCT a.image_id, a.x, a.y FROM lb a JOIN lb b ON a.image_id = b.image_id AND abs(a.x - b.x) + abs(a.y - b.y) = 1 AND a.label <> b.label),
+nn AS (SELECT image_id, x, y FROM nr UNION SELECT p.image_id, p.x, p.y FROM lb p JOIN nr ON nr.image_id = p.image_id AND abs(nr.x - p.x) + abs(nr.y - p.y) = 1),
+ln_ AS (SELECT a.image_id, round(sum(CASE WHEN abs(a.x - b.x) + abs(a.y - b.y) = 1 THEN 1 ELSE 1 / sqrt(2) END) * pi() / 8, 6) AS length FROM lb a JOIN lb b ON a.image_id = b.image_id AND a.label <> b.label AND (b.y = a.y AND b.x = a.x + 1 OR b.y = a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1) GROUP BY 1)
+SELECT image_id, round(sum(miss) / any_value(length), 6) AS geom, round(sum(CASE WHEN nn.x IS NULL THEN miss ELSE 0 END) / any_value(length), 6) AS geom_far FROM ms JOIN ln_ USING (image_id) LEFT JOIN nn USING (image_id, x, y) GROUP BY 1""",
+)
+def area_between_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Area where two label maps differ over the first one's boundary length, and the part of it beyond a pixel of an edge."""
+    return R.area_between(tile_labels(spark, sf_dir), tile_labels(spark, sf_dir, CUTS2))

@@ -140,3 +140,49 @@ def huber_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("crp_code_length", f"WITH li AS ({LI}), c AS (SELECT g, row_number() OVER (PARTITION BY g ORDER BY l_orderkey, l_partkey, l_linenumber, v) - 1 AS before, row_number() OVER (PARTITION BY g, v ORDER BY l_orderkey, l_partkey, l_linenumber) - 1 AS seen FROM li) SELECT g, round(sum(-ln(CASE WHEN seen > 0 THEN seen ELSE 2.0 END / (before + 2.0::DOUBLE))), 6) AS nats, count(*) AS n FROM c GROUP BY g")
 def crp_code_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.sequential_code_length(lines(spark, sf_dir), "g", "v", ["l_orderkey", "l_partkey", "l_linenumber", "v"], 2.0)
+
+
+@register(
+    "crp_concentration",
+    f"""WITH RECURSIVE li AS ({LI}), p AS (SELECT kind, g, count(*) AS n, count(DISTINCT v) AS k FROM li GROUP BY 1, 2),
+gs AS (SELECT DISTINCT kind, 0 AS step, -6.0::DOUBLE AS lo, 10.0::DOUBLE AS hi FROM p
+  UNION ALL SELECT kind, step + 1, CASE WHEN up THEN a ELSE lo END, CASE WHEN up THEN hi ELSE b END FROM (
+    SELECT m.kind, m.step, m.lo, m.hi, m.a, m.b, sum(k * a + lgamma(exp(a)) - lgamma(exp(a) + n)) < sum(k * b + lgamma(exp(b)) - lgamma(exp(b) + n)) AS up
+    FROM (SELECT *, hi - (sqrt(5.0::DOUBLE) - 1) / 2 * (hi - lo) AS a, lo + (sqrt(5.0::DOUBLE) - 1) / 2 * (hi - lo) AS b FROM gs WHERE step < 40) m JOIN p ON p.kind = m.kind GROUP BY ALL))
+SELECT kind, round(exp((lo + hi) / 2), 3) AS alpha FROM gs WHERE step = 40""",
+)
+def crp_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How readily each kind's suppliers name new quantities: the likeliest concentration of a restaurant process."""
+    pairs = lines(spark, sf_dir).groupBy("kind", "g").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("v").alias("k"))
+    return S.crp_concentration(pairs, "kind", 40).select("kind", F.round("alpha", 3).alias("alpha"))
+
+
+@register("oddities", "WITH s AS (SELECT p_partkey, unnest(['size', 'price']) AS statistic, unnest([p_size::DOUBLE, p_retailprice]) AS v FROM part), z AS (SELECT *, round(abs(v - avg(v) OVER w) / nullif(stddev_pop(v) OVER w, 0), 6) AS z FROM s WINDOW w AS (PARTITION BY statistic)) SELECT statistic, p_partkey, v, z FROM z WHERE z IS NOT NULL QUALIFY row_number() OVER (PARTITION BY statistic ORDER BY z DESC, p_partkey) <= 5")
+def oddities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five parts farthest from the rest in each statistic."""
+    part = read(spark, sf_dir, "part")
+    both = F.explode(F.array(F.struct(F.lit("size").alias("statistic"), F.col("p_size").cast("double").alias("v")), F.struct(F.lit("price").alias("statistic"), F.col("p_retailprice").alias("v"))))
+    return S.oddities(part.select("p_partkey", both.alias("s")).select("p_partkey", "s.*"), "statistic", "p_partkey", "v", 5)
+
+
+@register("redundancy_prune")
+def redundancy_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of line items that one kept before makes redundant; tests compare the walk."""
+    li = read(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_tax", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"))
+    return S.redundancy(li, ["l_quantity", "l_extendedprice", "net", "l_discount", "l_tax"], 0.7)
+
+
+@register("ratio_against_truth", f"WITH {PAIRED_SQL} SELECT family, part, CASE WHEN base > 0 THEN round(cur / base, 9) ELSE 'NaN'::DOUBLE END AS ratio, CASE WHEN base > 0 AND cur > 0 THEN round(abs(ln(cur / base)), 6) END AS gap FROM pd")
+def ratio_against_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratios, undefined over nothing, and how far they are from one."""
+    base, current = F.col("base"), F.col("current")
+    ratio = current / F.when(base > 0, base)
+    gap = F.when((base > 0) & (current > 0), F.round(F.abs(F.ln(ratio)), 6))
+    return paired(spark, sf_dir).select("family", "part", F.coalesce(F.round(ratio, 9), F.lit(float("nan"))).alias("ratio"), gap.alias("gap"))
+
+
+@register("paired_summary", f"WITH {PAIRED_SQL}, r AS (SELECT family, part, round(cur / base, 9) AS ratio FROM pd WHERE base > 0) SELECT family, count(*) AS n, round(median(ratio), 6) AS median, round(quantile_cont(ratio, 0.9), 6) AS tail, string_agg(CAST(part AS VARCHAR), ',' ORDER BY ratio DESC, part) FILTER (WHERE k <= 5) AS worst FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY ratio DESC, part) AS k FROM r) GROUP BY 1")
+def paired_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each family's ratios the median, the last decile and the five worst."""
+    r = paired(spark, sf_dir).filter("base > 0").select("family", "part", F.round(F.col("current") / F.col("base"), 9).alias("ratio"))
+    return S.paired_summary(r, "family", "part", "ratio", 5)

@@ -265,3 +265,46 @@ def test_palettes(spark):
     assert P.mdl_walk(points, modes, 0.1, 0.01, 4.0, 0.012, 16, lambda c: False) == [0, 2]
     assert P.mdl_walk(points, modes, 0.1, 0.01, 4.0, 0.001, 16, always) == [0, 1, 2, 3] or P.mdl_walk(points, modes, 0.1, 0.01, 4.0, 0.001, 2, always) == [0, 1]
     assert P.interior_share(np.ones((3, 3), bool)) == 1 and P.interior_share(np.eye(3, dtype=bool)) == 0 and P.lower_median(np.array([3.0, 1.0, 2.0, 9.0])) == 3.0
+
+
+def test_simplified_lines():
+    def plain(points, tolerance):
+        if len(points) < 3:
+            return points
+        (ax, ay), (bx, by) = points[0], points[-1]
+
+        def far(p):
+            length = (bx - ax) ** 2 + (by - ay) ** 2
+            t = min(max(((p[0] - ax) * (bx - ax) + (p[1] - ay) * (by - ay)) / length, 0), 1) if length else 0
+            return ((p[0] - ax - t * (bx - ax)) ** 2 + (p[1] - ay - t * (by - ay)) ** 2) ** 0.5
+
+        k = max(range(1, len(points) - 1), key=lambda i: far(points[i]))
+        if far(points[k]) <= tolerance:
+            return [points[0], points[-1]]
+        return plain(points[: k + 1], tolerance)[:-1] + plain(points[k:], tolerance)
+
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 3, 40):
+        x, y = rng.random(n) * 10, rng.random(n) * 10
+        for tolerance in (0.0, 1.0, 4.0):
+            assert [(x[i], y[i]) for i in G.kept_points(x, y, tolerance)] == plain(list(zip(x, y, strict=True)), tolerance)
+
+
+def test_redundant_statistics(spark):
+    rho = {("b", "a"): 0.9, ("c", "a"): 0.2, ("c", "b"): -0.95, ("d", "c"): -0.8, ("d", "a"): 0.75}
+    assert S.pruned(list("abcd"), rho, 0.7) == [("a", None, None), ("b", "a", 0.9), ("c", None, None), ("d", "c", -0.8)]
+    rng = np.random.default_rng(6)
+    a = rng.integers(0, 30, 200)
+    rows = spark.createDataFrame([(int(v), int(v) * 2 + 1, float(rng.random())) for v in a], "a int, b int, c double")
+    found = {r["statistic"]: r["duplicate_of"] for r in S.redundancy(rows, ["a", "b", "c"], 0.7).collect()}
+    assert found == {"a": None, "b": "a", "c": None}
+    total = {r["a"]: r["upto"] for r in S.running_total(rows.groupBy("a").count(), "a", "count", 5).collect()}
+    assert total == {v: int((a <= v).sum()) for v in set(a.tolist())}
+
+
+def test_budget_rules(spark):
+    from tessera.operators import evalkit as E
+
+    rows = [("a", "max", 1.0, 0.5), ("b", "max", 1.0, 2.0), ("c", "min", 1.0, 2.0), ("d", "floor", 0.0, 0.01), ("e", "max", None, 3.0), ("f", "min", 1.0, None)]
+    got = {r["key"]: (r["passed"], r["tightened"]) for r in E.ratchet_rules(spark.createDataFrame(rows, "key string, rule string, base double, now double"), 0.05).collect()}
+    assert got == {"a": (True, True), "b": (False, False), "c": (True, True), "d": (False, False), "e": (True, False), "f": (False, False)}
