@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import buffers, chunks, column, long_ids, table, tidied
 
 ROW_BYTES = 64
+#: Rows of an image that are summed at once.
+SEGMENT_ROWS = 1 << 14
 TILE = (8, 9)
 _HEADER = re.compile(rb"(P[1-6])" + rb"(?:\s+|\s*#[^\n]*\n)+(\d+)" * 2)
 _SPACE_AND_NUMBER = re.compile(rb"(?:\s+|\s*#[^\n]*\n)+(\d+)")
@@ -120,26 +122,32 @@ def decode(data: bytes) -> np.ndarray:
 
 
 def luma(image: np.ndarray) -> np.ndarray:
-    """Grey levels as floats."""
-    return image.astype(np.float64) if image.ndim == 2 else image.astype(np.float64) @ np.array([0.299, 0.587, 0.114])
+    """Grey levels: of grey images the samples themselves."""
+    return image if image.ndim == 2 else image.astype(np.float64) @ np.array([0.299, 0.587, 0.114])
 
 
 def area_resize(grey: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Each target cell is the mean of the source over the cell's exact area."""
+    """Each target cell is the mean of the source over the cell's exact area.
+
+    The integral image is made `SEGMENT_ROWS` rows at a time, and only what lies at the target's bounds is kept.
+    """
     rows, columns = grey.shape
-    total = np.zeros((rows + 1, columns + 1))
-    np.cumsum(np.cumsum(grey, axis=0), axis=1, out=total[1:, 1:])
-
-    def cut(sums: np.ndarray, pieces: int) -> np.ndarray:
-        """Sums up to each of the fractional bounds along the first axis."""
-        at = np.arange(pieces + 1) * ((sums.shape[0] - 1) / pieces)
-        low = np.minimum(at.astype(np.int64), sums.shape[0] - 2)
-        part = (at - low)[:, None]
-        return sums[low] * (1 - part) + sums[low + 1] * part
-
-    bounds = cut(cut(total, height).T, width).T
-    cells = bounds[1:, 1:] - bounds[:-1, 1:] - bounds[1:, :-1] + bounds[:-1, :-1]
-    return cells / ((rows / height) * (columns / width))
+    at = np.arange(height + 1) * (rows / height)
+    low = np.minimum(at.astype(np.int64), rows - 1)
+    bounds, carry = np.zeros((height + 1, columns + 1)), np.zeros(columns + 1)
+    for i in range(0, rows, SEGMENT_ROWS):
+        piece = grey[i : i + SEGMENT_ROWS].astype(np.float64)
+        total = np.zeros((len(piece) + 1, columns + 1))
+        np.cumsum(np.cumsum(piece, axis=0), axis=1, out=total[1:, 1:])
+        total += carry
+        here = np.flatnonzero((low >= i) & (low < i + len(piece)))
+        part = (at - low)[here, None]
+        bounds[here] = total[low[here] - i] * (1 - part) + total[low[here] - i + 1] * part
+        carry = total[-1].copy()
+    across = np.arange(width + 1) * (columns / width)
+    left = np.minimum(across.astype(np.int64), columns - 1)
+    sums = bounds[:, left] * (1 - (across - left)) + bounds[:, left + 1] * (across - left)
+    return np.diff(np.diff(sums, axis=0), axis=1) / ((rows / height) * (columns / width))
 
 
 def tile_npy(grey: np.ndarray, height: int = TILE[0], width: int = TILE[1]) -> bytes:

@@ -114,11 +114,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """The rows of the mix: each document as often as it is taken. Texts are filtered where they are read, not moved."""
-    plan = mixing_plan(_sized(docs), weights, share, most).select(F.col("source").alias("__source"), "full", "threshold").withColumnsRenamed({"full": "__full", "threshold": "__threshold"})
-    joined = docs.join(plan, docs["source"].eqNullSafe(F.col("__source")))
-    copies = F.col("__full") + (unit_hash("doc_id") < F.col("__threshold")).cast("long")
-    repeated = joined.withColumn("__copies", copies).filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
-    return repeated.select(*docs.columns)
+    own = {name: _free(docs, name) for name in ("source", "full", "threshold", "copies", "copy")}
+    plan = mixing_plan(_sized(docs), weights, share, most).select(*[F.col(n).alias(own[n]) for n in ("source", "full", "threshold")])
+    joined = docs.join(plan, docs["source"].eqNullSafe(F.col(own["source"])))
+    copies = F.col(own["full"]) + (unit_hash("doc_id") < F.col(own["threshold"])).cast("long")
+    repeated = joined.withColumn(own["copies"], copies).filter(F.col(own["copies"]) > 0)
+    return repeated.withColumn(own["copy"], F.explode(F.sequence(F.lit(1), F.col(own["copies"]).cast("int")))).select(*docs.columns)
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    while name in docs.columns or name.lower() in [c.lower() for c in docs.columns]:
+        name = f"_{name}"
+    return name
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

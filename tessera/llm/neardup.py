@@ -39,6 +39,8 @@ MISSED = 1e-6
 MARGIN = 0.2
 #: Rows of a block: of signatures (128 bytes each), and of full sets. The larger a block, the fewer spanning links leave.
 SIGNATURE_BLOCK, SET_BLOCK = 1024, 192
+#: Bytes of a long text that are read at once.
+SEGMENT = 1 << 22
 
 _polynomial = Polynomial()
 _space = np.zeros(256, bool)
@@ -48,8 +50,32 @@ _lower[ord("A") : ord("Z") + 1] += 32
 
 
 def shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each text's distinct shingles, sorted within the text, and the n + 1 bounds of the texts."""
+    """Hashes of each text's distinct shingles, sorted within the text, and the n + 1 bounds of the texts.
+
+    A text over `SEGMENT` bytes (chunks give it alone) is read in parts that share words - 1 words.
+    """
     raw, bounds = packed(texts)
+    if len(bounds) != 2 or len(raw) <= SEGMENT:
+        return _shingles(raw, bounds, words)
+    parts, begin, stop = [], 0, 0
+    while stop < len(raw):
+        stop = min(stop + SEGMENT, len(raw))
+        while stop < len(raw) and not _space[raw[stop]]:
+            stop += 1
+        piece = raw[begin:stop]
+        gap = _space[piece]
+        starts = np.flatnonzero(~gap & np.concatenate([[True], gap[:-1]]))
+        if len(starts) >= words or (stop == len(raw) and not parts):
+            parts.append(_shingles(piece, np.array([0, len(piece)]), words)[0])
+        if words == 1:
+            begin = stop
+        elif len(starts) >= words:
+            begin += int(starts[-(words - 1)])
+    values = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+    return values, np.array([0, len(values)])
+
+
+def _shingles(raw: np.ndarray, bounds: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     raw = _lower[raw]
     inside = ~_space[raw] if len(raw) else np.zeros(0, bool)
     edge = np.zeros(len(raw) + 1, bool)

@@ -33,6 +33,8 @@ from tessera.llm.common import BASE_2, Polynomial, chunks, column, mix, packed,
 
 WIDTH = 100
 GRAM = 24
+#: A stretch's number of strings has ten bits.
+MOST_WIDTH = 1000
 MOST = 20_000
 _POSITION_BITS = 24
 _SEGMENT = 1 << 23
@@ -329,6 +331,8 @@ def _hot_buckets(pieces: DataFrame, width: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, text_hash, start, stop of byte spans that later copies cover; they may overlap. docs: those and text."""
+    if not GRAM <= width <= MOST_WIDTH:
+        raise ValueError(f"width has to be {GRAM} to {MOST_WIDTH} bytes")
     rows = _stretch_rows(docs, width)
     again = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
     again = written(again, "suffix-anchors")

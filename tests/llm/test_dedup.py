@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import components, lines, neardup, suffixes
@@ -57,6 +58,23 @@ def test_near_duplicates_of_awkward_tables(awkward, nothing):
     assert 18 in ids and 21 not in ids and 27 not in ids and ids.count(18) == 1
 
 
+def test_shingles_of_long_texts(monkeypatch):
+    rng = random.Random(3)
+    texts = [words(rng, 700), " ".join(["again and"] * 300), "x" * 5000, "one  two\n", " " * 900, "a " * 50 + "y" * 800 + " b c d"]
+    for k in (1, 2, 3, 5):
+        whole = [neardup.shingles(pa.array([t]), k)[0].tolist() for t in texts]
+        with monkeypatch.context() as m:
+            for segment in (1, 7, 100, 333):
+                m.setattr(neardup, "SEGMENT", segment)
+                assert [neardup.shingles(pa.array([t]), k)[0].tolist() for t in texts] == whole
+
+
+def test_width_of_passages(nothing):
+    for width in (10, 2000):
+        with pytest.raises(ValueError):
+            suffixes.dedup_passages(nothing, width)
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(2)
     a = rng.integers(0, 2**63, 3000).astype(np.uint64)

@@ -140,6 +140,15 @@ def test_mixing(spark, awkward, nothing):
     assert {r["doc_id"]: r["count"] for r in rows.groupBy("doc_id").count().collect()} == {k: n for k, n in copies.items() if n}
 
 
+def test_mixing_with_clashing_names(awkward):
+    from pyspark.sql import functions as F
+
+    rows = awkward.filter("doc_id <> 18")
+    clash = rows.withColumns({n: F.lit(1) for n in ("full", "_source", "threshold", "__threshold", "copies", "Copy")})
+    got = mixing.mixed_documents(clash)
+    assert got.columns == clash.columns and got.count() == mixing.mixed_documents(rows).count()
+
+
 def test_mixing_agrees_with_sql(spark):
     rows = [(i, " w" * (i * 7 % 50), None if i % 11 == 0 else f"s{i % 4 if i % 3 else 0}") for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")

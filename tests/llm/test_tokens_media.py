@@ -77,6 +77,13 @@ def test_area_resize(shape):
     np.testing.assert_allclose(media.area_resize(grey, 8, 9), brute_area(grey, 8, 9), atol=1e-8)
 
 
+def test_area_resize_in_segments(monkeypatch):
+    grey = np.random.default_rng(5).integers(0, 256, (1000, 64)).astype(np.uint8)
+    want = media.area_resize(grey, 8, 9)
+    monkeypatch.setattr(media, "SEGMENT_ROWS", 37)
+    np.testing.assert_allclose(media.area_resize(grey, 8, 9), want, rtol=1e-12)
+
+
 def test_decoders():
     rng = np.random.default_rng(1)
     grey = rng.integers(0, 256, (5, 7)).astype(np.uint8)
