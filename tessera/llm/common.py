@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
 
@@ -53,6 +54,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+#: Rows of two or three numbers that may be broadcast: some 100 MB.
+BROADCAST_ROWS = 4_000_000
+
+
+def few(numbers: DataFrame) -> DataFrame:
+    """A written table of numbers, to be broadcast if it has at most `BROADCAST_ROWS` rows; beyond that joins shuffle."""
+    return F.broadcast(numbers) if numbers.count() <= BROADCAST_ROWS else numbers
+
+
 Batches = Iterator[pa.RecordBatch]
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Polynomial, chunks, column, long_ids, mix, packed, table, tidied, written
+from tessera.llm.common import Polynomial, chunks, column, few, long_ids, mix, packed, table, tidied, written
 from tessera.llm.components import connected_components
 
 WORDS, SIMILARITY = 5, 80
@@ -316,7 +316,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     families = connected_components(close)
 
     wanted = families.select(F.col("node").alias("id"), F.col("component").alias("family"))
-    chosen = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id")
+    # Texts are not moved while the families' members are few enough to be sent to them.
+    chosen = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(few(wanted), "id")
     full = shingle_sets(chosen, words, ("id", "family")).dropDuplicates(["id", "shingles"])
     links = written(_blocks_linked(_in_blocks(full, "family", ["shingles"], SET_BLOCK), "family", _confirmed(similarity)), "neardup-links")
     components = connected_components(links)
@@ -330,7 +331,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
 def one_of_each(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
     """docs without the documents that another of their class stands for: the smallest doc_id of each class stays."""
     found = written(near_duplicates(docs, words, similarity).filter("NOT kept").select("doc_id").distinct(), "neardup-dropped")
-    left = docs.join(found.withColumnRenamed("doc_id", "__dropped"), docs["doc_id"].cast("long") == F.col("__dropped"), "left_anti")
+    left = docs.join(few(found).withColumnRenamed("doc_id", "__dropped"), docs["doc_id"].cast("long") == F.col("__dropped"), "left_anti")
     if docs.groupBy("doc_id").count().filter("count > 1").limit(1).count():
         left = left.dropDuplicates(["doc_id", "text"])
     return left
