@@ -191,12 +191,12 @@ def error_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.groupBy("runner", "setting").agg(F.count(F.lit(1)).alias("cells")).join(good, ["runner", "setting"])
 
 
-@register("means_by_class", f"WITH {FAIL_SQL} SELECT family, CASE WHEN quality < 15 THEN 'low' WHEN quality < 35 THEN 'middle' ELSE 'high' END AS class, count(*) AS n, round(avg(cost) FILTER (WHERE error IS NULL OR error = ''), 4) AS cost FROM fc GROUP BY 1, 2")
+@register("means_by_class", f"WITH {FAIL_SQL} SELECT family, CASE WHEN quality < 15 THEN 'low' WHEN quality < 35 THEN 'middle' ELSE 'high' END AS class, count(*) AS n, round(avg(cost) FILTER (WHERE error IS NULL OR error = ''), 9) AS cost FROM fc GROUP BY 1, 2")
 def means_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of each family and class, and means over what did not fail."""
     group = F.when(F.col("quality") < 15, "low").when(F.col("quality") < 35, "middle").otherwise("high")
     good = F.col("error").isNull() | (F.col("error") == "")
-    return cells_with_errors(spark, sf_dir).groupBy("family", group.alias("class")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(good, F.col("cost"))), 4).alias("cost"))
+    return cells_with_errors(spark, sf_dir).groupBy("family", group.alias("class")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(good, F.col("cost"))), 9).alias("cost"))
 
 
 RULES_SQL = SC_SQL + """,
