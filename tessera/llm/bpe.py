@@ -1,7 +1,7 @@
 """Byte-level BPE: ranked merges over the bytes of distinct words; decoding by concatenation.
 
 `encode_texts`, which the query uses, merges in Python for whole documents in Arrow batches,
-the words that a worker remembers once; the README says why, with figures. `encode_words` is the
+each distinct word of a task once; the README says why, with figures. `encode_words` is the
 fold as a Spark expression: higher-order functions over byte arrays and a literal rank map,
 for a table of distinct words. Decoding joins the bytes of the ids.
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import chunks, column, long_ids, table, tidied
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Words a worker remembers, and the most letters of such a word: some 20 MB; beyond that it starts anew, which changes no result.
+#: Words a task remembers, and the most letters of such a word: some 20 MB; beyond that it starts anew, which changes no result.
 REMEMBERED, LONGEST_REMEMBERED = 100_000, 64
 
 
@@ -142,11 +142,13 @@ def encode_texts(docs: DataFrame, path: str | None = None, pattern: str | None =
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
+        own.known.clear()
         for batch in chunks(batches, "text"):
             ids = [own.encode(t or "") for t in column(batch, "text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [long_ids(batch), pa.array(ids, pa.binary()), pa.array([own.decode(x) for x in ids], pa.binary())], names=["doc_id", "ids", "decoded"]
             )
+        own.known.clear()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, ids binary, decoded binary")
 
