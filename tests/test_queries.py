@@ -4,8 +4,10 @@ import math
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
+from tessera.operators import dense as D
 from tessera.plans import load, registry
 
 SF = "/root/testdata/sf0.001"
@@ -41,6 +43,20 @@ def test_like_sql(spark, duck, name):
     assert got == want
 
 
+def test_skeleton_of_a_tile_that_takes_more_rounds_than_the_sql(spark, tmp_path):
+    tile = ".#####.# #######. ######## ##.##### #.#.#### ##..#### #.###..# ######..".split()
+    ink = np.array([[c == "#" for c in row] for row in tile])
+    rows = [(7, [float(c) - 0.5 for c in ink.ravel()]), (8, [0.5] * 64), (9, [-0.5] * 64)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(con.execute(f"SELECT image_id, x, y, v FROM ({registry.oracle_sql()['skeleton']})").fetchall())
+    assert sorted(tuple(r) for r in registry.queries()["skeleton"](spark, str(tmp_path)).select("image_id", "x", "y", "v").collect()) == want
+    # The kernel goes on until nothing changes, unless a number of rounds is asked for.
+    whole = D.thinned(ink)
+    assert (D.thinned(whole) == whole).all() and (D.thinned(ink, 7) == whole).all() and (D.thinned(ink, 6) != whole).sum() == 1
+
+
 def test_entry_point_lists_the_same_queries():
     import __spark_entry__
 
