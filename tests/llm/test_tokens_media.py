@@ -36,6 +36,47 @@ def test_any_text_round_trips(text):
     assert own.decode(own.encode(text)).decode() == text
 
 
+def test_words_of_a_batch_are_merged_together(ranks, library, monkeypatch):
+    rng, alone = np.random.default_rng(8), []
+    text = " ".join("".join(chr(c) for c in rng.integers(97, 123, n)) for n in rng.integers(3, 30, 4000))
+    one_by_one = bpe.merged
+    monkeypatch.setattr(bpe, "merged", lambda word, ranks: alone.append(word) or one_by_one(word, ranks))
+    ids = bpe.Encoder(ranks, P.PATTERN).encode(text)
+    assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(text)
+    assert len(alone) < 400
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.text("ab", max_size=60), st.text(max_size=30)), max_size=40), st.lists(st.text("abé", min_size=2, max_size=6), max_size=60), st.randoms())
+def test_merges_together_are_those_one_by_one(words, pieces, random):
+    # Any ranks, not only those of a training: pairs may come before their parts, and ids are in no order of length.
+    pieces = list({*(bytes([i]) for i in range(256)), *(p.encode() for p in pieces)})
+    random.shuffle(pieces)
+    ranks = {p: 3 * i for i, p in enumerate(pieces)}
+    raw = {w.encode() for w in words}
+    got = bpe.Merger(ranks).merge(raw)
+    assert {w: np.frombuffer(ids, "<u4").tolist() for w, ids in got.items()} == {w: bpe.merged(w, ranks) for w in raw}
+
+
+def test_what_is_remembered_changes_nothing(ranks, library, monkeypatch):
+    rng = np.random.default_rng(9)
+    texts = [" ".join("".join(chr(c) for c in rng.integers(97, 110, n)) for n in rng.integers(1, 80, 60)) for _ in range(20)]
+    want = [library.encode_ordinary(t) for t in texts]
+    for name, value in (("REMEMBERED", 50), ("FIRST_REMEMBERED", 20), ("SEGMENT", 7), ("TOGETHER", 3)):
+        monkeypatch.setattr(bpe, name, value)
+        own = bpe.Encoder(ranks, P.PATTERN)
+        got = own.encode_all(texts[:3]) + [own.encode(t) for t in texts[3:]] + own.encode_all(texts)
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == want + want
+        assert not any(len(w) > bpe.LONGEST_REMEMBERED for w in own.known)
+
+
+def test_vocabulary_without_every_byte():
+    ranks = {b"a": 0, b"b": 1, b"ab": 2, b"abab": 3, b"\xc3\xa9": 4}
+    own = bpe.Encoder(ranks | {b"\xc3": 5, b"\xa9": 6}, r"\S+")
+    assert own.merger is None
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_all(["ababab é", "", "bba"])] == [[3, 2, 4], [], [1, 1, 0]]
+
+
 def test_documents(awkward, nothing, library):
     rows = {(r["doc_id"], r["text"]) for r in awkward.collect()}
     want = set()
